@@ -55,7 +55,7 @@ def priority_result(spam_conf: Column, score: Column, bucket: Column) -> Column:
     spam = spam_conf >= K.SPAM_THRESHOLD
     note = F.concat(F.lit("classified as spam (conf="), F.format_number(spam_conf, 2), F.lit("), priority suppressed"))
     return F.struct(
-        F.when(spam, F.lit(K.SCORE_MIN)).otherwise(F.bround(clip_score(score), 2)).alias("score"),
+        F.when(spam, F.lit(K.SCORE_MIN)).otherwise(F.round(clip_score(score), 2)).alias("score"),
         F.when(spam, F.lit("low")).otherwise(bucket).alias("bucket"),
         F.when(spam, note).alias("note"),
     )

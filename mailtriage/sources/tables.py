@@ -43,9 +43,9 @@ FOLDER = """CASE source
 SCORED = [
     "doc_id", "text", "source", "n_chars",
     "CASE WHEN n_chars % 10 < 5 THEN 'Work' WHEN n_chars % 10 < 8 THEN 'Personal' ELSE 'Other' END AS predicted",
-    "round(0.34 + (n_chars * 7 % 661) / 1000.0, 4) AS confidence",
-    "round((n_chars * 13 % 1000) / 1000.0, 4) AS spam_conf",
-    "round((n_chars * 3 % 2001 - 1000) / 1000.0, 4) AS compound",
+    "round(cast(0.34 AS double) + (n_chars * 7 % 661) / cast(1000 AS double), 4) AS confidence",
+    "round((n_chars * 13 % 1000) / cast(1000 AS double), 4) AS spam_conf",
+    "round((n_chars * 3 % 2001 - 1000) / cast(1000 AS double), 4) AS compound",
 ]
 
 # `gold`: labelled documents with a true and a predicted label, on top of `scored`.
