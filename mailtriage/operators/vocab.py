@@ -63,6 +63,11 @@ def vocabulary(terms: DataFrame, n_docs: DataFrame, spec: GramSpec) -> DataFrame
     )
 
 
+def constant_array(values: Sequence[float]) -> Column:
+    """A bounded list of numbers as one constant of the plan: no join, and no copy per row."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
 @dataclass
 class TextModel:
     """A fitted vocabulary. Its size is bounded by ``spec.max_features``, so it may be held and broadcast."""
@@ -85,21 +90,20 @@ class TextModel:
         from pyspark.ml.feature import CountVectorizerModel
 
         name = prefix or self.spec.name
-        spark = df.sparkSession
         if not self.terms:
             return df.withColumns({f"{name}_idx": F.array().cast("array<int>"), f"{name}_val": F.array().cast("array<double>")})
         if self._counter is None:
             self._counter = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_grams", outputCol="_tf")
-        weights = F.broadcast(spark.createDataFrame([(self.idf,)], "_idf array<double>"))
+        idf = constant_array(self.idf)
         counted = self._counter.transform(df.withColumn("_grams", self.spec.grams(F.col(clean)))).drop("_grams")
-        counted = counted.withColumn("_tf", F.unwrap_udt("_tf")).crossJoin(weights)
+        counted = counted.withColumn("_tf", F.unwrap_udt("_tf"))
 
         def normalised(w):
             norm = F.sqrt(F.aggregate(w, F.lit(0.0), lambda a, x: a + x * x))
             return let(norm, lambda length: F.transform(w, lambda x: x / length))
 
-        raw = F.zip_with("_tf.indices", "_tf.values", lambda i, tf: (F.log(tf) + 1) * F.get(F.col("_idf"), i))
-        return counted.withColumns({f"{name}_idx": F.col("_tf.indices"), f"{name}_val": let(raw, normalised)}).drop("_tf", "_idf")
+        raw = F.zip_with("_tf.indices", "_tf.values", lambda i, tf: (F.log(tf) + 1) * F.get(idf, i))
+        return counted.withColumns({f"{name}_idx": F.col("_tf.indices"), f"{name}_val": let(raw, normalised)}).drop("_tf")
 
 
 def collect_model(vocab: DataFrame, spec: GramSpec) -> TextModel:
@@ -107,6 +111,23 @@ def collect_model(vocab: DataFrame, spec: GramSpec) -> TextModel:
     return TextModel(spec, [r.term for r in rows], [r.idf for r in rows])
 
 
+def fit_text_by_fold(df: DataFrame, clean: str, spec: GramSpec, fold: str) -> dict[int, TextModel]:
+    """One model per fold, each fitted on all other folds, from a single pass over the text.
+
+    Terms are counted per (fold, term) once; what a fold must not see is subtracted.
+    """
+    from mailtriage.session import materialize
+
+    terms = materialize(term_table(df, clean, spec, [fold]), "fold-terms")
+    sizes = {r[fold]: r.n for r in df.groupBy(fold).agg(F.count("*").alias("n")).collect()}
+    models = {}
+    for f in sizes:
+        seen = terms.filter(F.col(fold) != f).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+        n_docs = df.sparkSession.createDataFrame([(sum(n for k, n in sizes.items() if k != f),)], "n_docs long")
+        models[f] = collect_model(vocabulary(seen, n_docs, spec), spec)
+    return models
+
+
 def fit_text(df: DataFrame, clean: str, spec: GramSpec) -> TextModel:
     n_docs = df.agg(F.count("*").alias("n_docs"))
     return collect_model(vocabulary(term_table(df, clean, spec), n_docs, spec), spec)
