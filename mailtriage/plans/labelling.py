@@ -164,7 +164,7 @@ def l14(spark, sf):
 
 @query("f1_min_clean_length", f"SELECT doc_id, clean FROM (SELECT doc_id, {clean_sql('text')} AS clean FROM documents) WHERE length(clean) >= 10")
 def f1(spark, sf):
-    d = V.load(spark, sf, "documents").select("doc_id", T.clean_text("text").alias("clean"))
+    d = V.load_text(spark, sf, "documents", "doc_id").select("doc_id", T.clean_text("text").alias("clean"))
     return d.filter(F.length("clean") >= K.MIN_CLEAN_CHARS)
 
 
@@ -452,7 +452,7 @@ def a18(spark, sf):
 @query("a19_feature_class_means", f"""WITH s AS ({STYLE_SQL}) SELECT l.quality, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in K.STYLE_COLS)}
   FROM s JOIN labels l ON l.doc_id = s.doc_id GROUP BY l.quality""")
 def a19(spark, sf):
-    f = V.load(spark, sf, "documents").select("doc_id", *style_features("source", "text"))
+    f = V.load_text(spark, sf, "documents", "doc_id").select("doc_id", *style_features("source", "text"))
     f = f.withColumns({c: F.round(c, 6) for c in ("text_len_log", "excl_density")})
     return f.join(V.load(spark, sf, "labels"), "doc_id").groupBy("quality").agg(
         F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in K.STYLE_COLS])

@@ -61,13 +61,26 @@ def m7(spark, sf):
 
 @query("m8_logistic_fit")
 def m8(spark, sf):
-    """Category model with balanced classes; the gradient of the fitted objective must vanish."""
+    """Spam model with balanced classes by Spark ML; the gradient of the mean objective must vanish."""
+    g = gold(spark, sf)
+    fm = FT.fit_features(g, FT.FeatureSpec([], None, K.CATEGORY_NUMERIC))
+    m = fm.matrix(g, ["is_spam"], "m8")
+    lm = LM.fit_logistic(m, "is_spam", 1.0, classes=[0, 1])
+    grad = LM.objective_gradient(fm.transform(g), lm, "is_spam", 1.0)
+    return grad.crossJoin(m.agg(F.count("*").alias("n"))).select(
+        F.col("k").alias("class"), F.lit(fm.dim).alias("dim"), F.round(F.lit(float(lm.intercepts[0])), 3).alias("intercept"),
+        (F.col("max_gradient") / F.col("n") < 1e-5).cast("int").alias("converged"))
+
+
+@query("m8b_category_fit")
+def m8b(spark, sf):
+    """Category model over the full feature row, fitted with the size-checked path."""
     g = gold(spark, sf)
     fm = FT.fit_features(g, CATEGORY)
-    lm = LM.fit_logistic(fm.matrix(g, ["true_category"], "m8"), "true_category", 3.0)
+    lm = LM.fit_model(g, fm, "true_category", 3.0)
     grad = LM.objective_gradient(fm.transform(g), lm, "true_category", 3.0)
     names = spark.createDataFrame([(k, c, float(b)) for k, (c, b) in enumerate(zip(lm.classes, lm.intercepts))], "k int, label string, intercept double")
-    return names.join(grad, "k").select("label", F.round("intercept", 3).alias("intercept"), (F.col("max_gradient") < 1e-3).cast("int").alias("converged"))
+    return names.join(grad, "k").select("label", F.round("intercept", 3).alias("intercept"), (F.col("max_gradient") < 1e-4).cast("int").alias("converged"))
 
 
 @query("m9_ridge_score")
@@ -75,7 +88,7 @@ def m9(spark, sf):
     g = gold(spark, sf)
     spec = FT.FeatureSpec([word_spec(WORDS, 2, STOP_WORDS)], None, K.HEADER_COLS[:3] + K.STYLE_COLS + K.KEYWORD_COLS)
     fm = FT.fit_features(g, spec)
-    ridge = LM.fit_ridge(fm.matrix(g, ["true_priority"], "m9"), "true_priority", 5.0)
+    ridge = LM.fit_model(g, fm, "true_priority", 5.0, ridge=True)
     return fm.transform(g).select("msg_id", "true_priority", F.round(S.clip_score(ridge.score()), 4).alias("score"))
 
 
@@ -127,15 +140,15 @@ def fit_triage(spark, sf, g=None) -> SC.Triage:
     """All models of one release, each on the predictions of the one before."""
     g = gold(spark, sf) if g is None else g
     sfm = FT.fit_features(g, SPAM)
-    spam = LM.fit_logistic(sfm.matrix(g, ["is_spam"], "spam"), "is_spam", 1.0, classes=[0, 1])
+    spam = LM.fit_model(g, sfm, "is_spam", 1.0, [0, 1])
     cfm = FT.fit_features(g, CATEGORY)
-    cat = LM.fit_logistic(cfm.matrix(g, ["true_category"], "category"), "true_category", 3.0)
+    cat = LM.fit_model(g, cfm, "true_category", 3.0)
     part = SC.Triage(sfm, spam, cfm, cat, None, None, None, ())
     rows = materialize(with_sentiment(SC.score_linear(g, part).drop("category_confidence"), spark, sf), "priority-rows")
     pfm = FT.fit_features(rows, PRIORITY)
     m = pfm.matrix(rows, ["true_priority", "true_bucket"], "priority")
     classes = LM.sorted_classes(m, "true_bucket")
-    ridge = LM.fit_ridge(m, "true_priority", 5.0)
+    ridge = LM.fit_model(rows, pfm, "true_priority", 5.0, ridge=True)
     return SC.Triage(sfm, spam, cfm, cat, pfm, ridge, EV.fit_forest(m, "true_bucket", classes, trees=20, depth=8), classes)
 
 
@@ -154,8 +167,8 @@ def l5(spark, sf):
     """Spam threshold, arg-max label and confidences of the linear models over all documents."""
     g = gold(spark, sf)
     sfm, cfm = FT.fit_features(g, SPAM), FT.fit_features(g, CATEGORY)
-    t = SC.Triage(sfm, LM.fit_logistic(sfm.matrix(g, ["is_spam"], "l5s"), "is_spam", 1.0, classes=[0, 1]),
-                  cfm, LM.fit_logistic(cfm.matrix(g, ["true_category"], "l5c"), "true_category", 3.0), None, None, None, ())
+    t = SC.Triage(sfm, LM.fit_model(g, sfm, "is_spam", 1.0, [0, 1]),
+                  cfm, LM.fit_model(g, cfm, "true_category", 3.0), None, None, None, ())
     r = SC.score_linear(messages(spark, sf), t)
     return r.select("msg_id", S.spam_label(F.col("spam_conf")).alias("spam_label"), "category_label",
                     *[F.element_at("category_confidence", c).alias(f"conf_{c.lower()}") for c in K.CATEGORIES])
@@ -176,7 +189,7 @@ def m18b(spark, sf):
 
     g = gold(spark, sf)
     fm = FT.fit_features(g, SPAM)
-    lm = LM.fit_logistic(fm.matrix(g, ["is_spam"], "m18b"), "is_spam", 1.0, classes=[0, 1])
+    lm = LM.fit_model(g, fm, "is_spam", 1.0, [0, 1])
     table = LM.coefficient_table(lm, fm.frame(spark))
     signed = table.withColumn("side", F.when(F.col("weight") >= 0, "spam").otherwise("ham"))
     top = take_per_group(signed, "side", [F.desc(F.abs("weight")), F.col("feature")], 15, "feature")
@@ -198,7 +211,7 @@ def m20(spark, sf):
 
     def scores(name):
         fm = FT.fit_features(g, SPAM)
-        lm = LM.fit_logistic(fm.matrix(g, ["is_spam"], name), "is_spam", 1.0, classes=[0, 1])
+        lm = LM.fit_model(g, fm, "is_spam", 1.0, [0, 1])
         return fm.transform(g).select("msg_id", F.get(lm.probabilities(), F.lit(1)).alias("p"))
 
     return EV.largest_difference(scores("m20a"), scores("m20b"), "msg_id", "p").select("n", "reproduces")
@@ -220,7 +233,7 @@ def s12(spark, sf):
     train, test = g.filter("is_test = 0"), g.filter("is_test = 1")
     fm = FT.fit_features(train, CATEGORY)
     m = fm.matrix(train, ["msg_id", "true_category"], "s12-matrix")
-    lm = LM.fit_logistic(m, "true_category", 3.0)
+    lm = LM.fit_model(train, fm, "true_category", 3.0)
     hit = (F.col("prediction") == F.col("true_category")).cast("double")
     return EV.predict(test, fm, lm).agg(
         F.lit(fm.dim).alias("dim"), F.lit(",".join(lm.classes)).alias("classes"), F.count("*").alias("n_gate"), F.round(F.avg(hit), 6).alias("base_gate_accuracy")

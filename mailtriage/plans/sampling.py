@@ -72,7 +72,7 @@ def w6(spark, sf):
 @query("w6b_dedup_by_clean_text", f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY substring({clean_sql('text')}, 1, 150)")
 def w6b(spark, sf):
     """Key: the first 150 characters of the cleaned text."""
-    d = V.load(spark, sf, "documents").select("doc_id", F.substring(T.clean_text("text"), 1, 150).alias("key"))
+    d = V.load_text(spark, sf, "documents", "doc_id").select("doc_id", F.substring(T.clean_text("text"), 1, 150).alias("key"))
     return SP.keep_first(d, F.col("key"), "doc_id").select("doc_id")
 
 
