@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -130,26 +131,35 @@ def numeric(c: str) -> Column:
     return F.log1p(F.col(c).cast("double")) if c in LOG1P else F.col(c).cast("double")
 
 
-def fit_numeric(df: DataFrame, cols: Sequence[str], where: Column | None = None) -> tuple[dict, dict]:
+def fit_numeric(df: DataFrame, cols: Sequence[str]) -> tuple[dict, dict]:
     """Means and population deviations: one row of at most a few dozen numbers."""
+    return fit_numeric_without(df, cols, {None: F.lit(True)})[None]
+
+
+def fit_numeric_without(df: DataFrame, cols: Sequence[str], parts: dict) -> dict:
+    """Means and deviations of several row subsets in one aggregation; a constant column has scale 1."""
     if not cols:
-        return {}, {}
-    pick = (lambda c: F.when(where, c)) if where is not None else (lambda c: c)
-    row = df.agg(*[x for c in cols for x in (F.avg(pick(numeric(c))).alias(f"{c}_m"), F.stddev_pop(pick(numeric(c))).alias(f"{c}_s"))]).first()
-    return {c: row[f"{c}_m"] for c in cols}, {c: (row[f"{c}_s"] or 1.0) for c in cols}
+        return {k: ({}, {}) for k in parts}
+    aggs = []
+    for k, where in parts.items():
+        for c in cols:
+            x = F.when(where, numeric(c))
+            aggs += [F.avg(x).alias(f"{k}_{c}_m"), F.stddev_pop(x).alias(f"{k}_{c}_s")]
+    row = df.agg(*aggs).first()
+    return {k: ({c: row[f"{k}_{c}_m"] for c in cols}, {c: (row[f"{k}_{c}_s"] or 1.0) for c in cols}) for k in parts}
 
 
 def fit_features(df: DataFrame, spec: FeatureSpec, clean: str = "clean") -> FeatureModel:
     means, scales = fit_numeric(df, spec.numeric)
-    return FeatureModel(spec, [fit_text(df, clean, g) for g in spec.grams], means, scales)
+    with ThreadPoolExecutor(max(1, len(spec.grams))) as pool:
+        texts = list(pool.map(lambda g: fit_text(df, clean, g), spec.grams))
+    return FeatureModel(spec, texts, means, scales)
 
 
 def fit_features_by_fold(df: DataFrame, spec: FeatureSpec, fold: str, clean: str = "clean") -> dict[int, FeatureModel]:
     """One feature model per fold, fitted without that fold's rows."""
-    texts = [fit_text_by_fold(df, clean, g, fold) for g in spec.grams]
+    with ThreadPoolExecutor(max(1, len(spec.grams))) as pool:
+        texts = list(pool.map(lambda g: fit_text_by_fold(df, clean, g, fold), spec.grams))
     folds = texts[0].keys() if texts else [r[0] for r in df.select(fold).distinct().collect()]
-    out = {}
-    for f in folds:
-        means, scales = fit_numeric(df, spec.numeric, F.col(fold) != f)
-        out[f] = FeatureModel(spec, [t[f] for t in texts], means, scales)
-    return out
+    stats = fit_numeric_without(df, spec.numeric, {f: F.col(fold) != f for f in folds})
+    return {f: FeatureModel(spec, [t[f] for t in texts], *stats[f]) for f in folds}

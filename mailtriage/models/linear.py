@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mailtriage.functions.text import let
 from mailtriage.operators.numeric import class_weights
 from mailtriage.operators.vocab import constant_array
+from mailtriage.session import spread_groups
 
 
 @dataclass
@@ -125,7 +126,7 @@ def fit_groups(rows: DataFrame, groups: Sequence[str], dims: dict, label: str, s
     table = {tuple(k): d for k, d in dims.items()}
     known = list(classes) if classes is not None else None
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = solver.Rows(pdf["indices"].tolist(), pdf["values"].tolist(), table[tuple(key)])
         w = pdf["_w"].to_numpy(dtype=float)
         if known is None:
@@ -139,7 +140,7 @@ def fit_groups(rows: DataFrame, groups: Sequence[str], dims: dict, label: str, s
     types = ", ".join(f"{g} {dict(rows.dtypes)[g]}" for g in names)
     target = F.col(label) if known is not None else F.col(label).cast("double")
     picked = rows.select(*names, "indices", "values", target.alias("_t"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
-    fitted = picked.groupBy(*names).applyInPandas(fit, f"{types}, {FITTED}").collect()
+    fitted = spread_groups(picked, *names).groupBy(*names).applyInPandas(fit, f"{types}, {FITTED}").collect()
     out = {}
     for r in fitted:
         key = tuple(r[g] for g in names)

@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 
 
-def minimise(f, x, max_iter=500, tol=1e-7, memory=10):
+def minimise(f, x, max_iter=300, tol=1e-5, memory=10):
     """Limited-memory BFGS with backtracking; stops when the largest gradient entry is below ``tol``."""
     fx, g = f(x)
     steps, diffs = [], []
@@ -34,14 +34,14 @@ def minimise(f, x, max_iter=500, tol=1e-7, memory=10):
             if new <= fx + 1e-4 * t * slope or t < 1e-12:
                 break
             t /= 2
-        s, y = t * d, gn - g
+        gain, s, y = fx - new, t * d, gn - g
+        if not gain > 1e-14 * max(1.0, abs(fx)):
+            break
         x, fx, g = x + s, new, gn
         if y @ s > 1e-12 * (y @ y):
             steps.append(s)
             diffs.append(y)
             steps, diffs = steps[-memory:], diffs[-memory:]
-        elif t < 1e-12:
-            break
     return x
 
 
@@ -68,8 +68,11 @@ def balanced(y, k):
     return (len(y) / (np.count_nonzero(n) * np.maximum(n, 1)))[y]
 
 
-def fit_classes(rows: Rows, y, weight, k, C):
-    """Coefficients and intercepts; one row for two classes, else one row per class."""
+def fit_classes(rows: Rows, y, weight, k, C, start=None):
+    """Coefficients and intercepts; one row for two classes, else one row per class.
+
+    ``start`` is an array of that shape with the intercept last; it only saves steps.
+    """
     m = 1 if k == 2 else k
     hot = np.eye(k)[y][:, -m:]
 
@@ -89,7 +92,8 @@ def fit_classes(rows: Rows, y, weight, k, C):
         grad[:, :-1] += B[:, :-1] / C
         return (weight * loss).sum() + (B[:, :-1] ** 2).sum() / (2 * C), grad.ravel()
 
-    B = minimise(f, np.zeros(m * (rows.dim + 1))).reshape(m, rows.dim + 1)
+    x0 = np.zeros(m * (rows.dim + 1)) if start is None else np.asarray(start, dtype=float).ravel()
+    B = minimise(f, x0).reshape(m, rows.dim + 1)
     return B[:, :-1], B[:, -1]
 
 

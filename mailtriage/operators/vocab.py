@@ -8,7 +8,8 @@ the row. No row is exploded and nothing is shuffled while scoring.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -120,12 +121,13 @@ def fit_text_by_fold(df: DataFrame, clean: str, spec: GramSpec, fold: str) -> di
 
     terms = materialize(term_table(df, clean, spec, [fold]), "fold-terms")
     sizes = {r[fold]: r.n for r in df.groupBy(fold).agg(F.count("*").alias("n")).collect()}
-    models = {}
-    for f in sizes:
+    def one(f):
         seen = terms.filter(F.col(fold) != f).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
         n_docs = df.sparkSession.createDataFrame([(sum(n for k, n in sizes.items() if k != f),)], "n_docs long")
-        models[f] = collect_model(vocabulary(seen, n_docs, spec), spec)
-    return models
+        return collect_model(vocabulary(seen, n_docs, spec), spec)
+
+    with ThreadPoolExecutor(len(sizes)) as pool:
+        return dict(zip(sizes, pool.map(one, sizes)))
 
 
 def fit_text(df: DataFrame, clean: str, spec: GramSpec) -> TextModel:

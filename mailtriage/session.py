@@ -51,3 +51,13 @@ def materialize(df, name: str):
     path = work_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_groups(df, *keys: str):
+    """Hash rows on ``keys`` over all shuffle partitions.
+
+    For grouped Python work whose cost is in the computation: adaptive execution would merge its
+    small partitions into a few tasks. The grouping that follows reuses this exchange.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
