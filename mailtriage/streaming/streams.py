@@ -139,7 +139,7 @@ def sessions_batch(events: DataFrame, user: str, time: str, gap_minutes: int = 3
     slots = events.select(user, micros.alias("t")).withColumn("slot", F.floor(F.col("t") / gap)).groupBy(user, "slot").agg(
         F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"))
     order = W.partitionBy(user).orderBy("slot")
-    starts = slots.withColumn("new", F.when(F.col("lo") - F.lag("hi").over(order) < gap, 0).otherwise(1))
+    starts = slots.withColumn("new", F.when(F.col("lo") - F.lag("hi").over(order) <= gap, 0).otherwise(1))
     numbered = starts.withColumn("sid", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     return numbered.groupBy(user, "sid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).select(
         user, F.timestamp_micros("lo").alias("session_start"), F.timestamp_micros(F.col("hi") + gap).alias("session_end"), "n")
