@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import numpy as np
 
+# A fit stops when no entry of the mean gradient exceeds this.
+MEAN_GRADIENT = 1e-7
 
-def minimise(f, x, max_iter=300, tol=1e-5, memory=10):
+
+def minimise(f, x, tol, max_iter=300, memory=10):
     """Limited-memory BFGS with backtracking; stops when the largest gradient entry is below ``tol``."""
     fx, g = f(x)
     steps, diffs = [], []
@@ -93,7 +96,7 @@ def fit_classes(rows: Rows, y, weight, k, C, start=None):
         return (weight * loss).sum() + (B[:, :-1] ** 2).sum() / (2 * C), grad.ravel()
 
     x0 = np.zeros(m * (rows.dim + 1)) if start is None else np.asarray(start, dtype=float).ravel()
-    B = minimise(f, x0).reshape(m, rows.dim + 1)
+    B = minimise(f, x0, MEAN_GRADIENT * weight.sum()).reshape(m, rows.dim + 1)
     return B[:, :-1], B[:, -1]
 
 
@@ -104,7 +107,7 @@ def fit_squared(rows: Rows, y, weight, alpha):
         grad = np.append(rows.transposed(weight * e) + alpha * x[:-1], (weight * e).sum())
         return 0.5 * (weight * e * e).sum() + 0.5 * alpha * (x[:-1] ** 2).sum(), grad
 
-    x = minimise(f, np.append(np.zeros(rows.dim), np.average(y, weights=weight)))
+    x = minimise(f, np.append(np.zeros(rows.dim), np.average(y, weights=weight)), MEAN_GRADIENT * weight.sum())
     return x[None, :-1], x[-1:]
 
 

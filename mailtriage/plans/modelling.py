@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from mailtriage import constants as K
@@ -136,14 +138,22 @@ def m13(spark, sf):
         "both": FT.FeatureSpec(words, None, tuple(dims) + K.STYLE_COLS)}, 1.0, "msg_id")
 
 
+def fit_linear(g) -> SC.Triage:
+    """Spam and category models; the two do not depend on each other and are fitted side by side."""
+    def one(spec, label, strength, classes):
+        fm = FT.fit_features(g, spec)
+        return fm, LM.fit_model(g, fm, label, strength, classes)
+
+    with ThreadPoolExecutor(2) as pool:
+        spam, cat = pool.submit(one, SPAM, "is_spam", 1.0, [0, 1]), pool.submit(one, CATEGORY, "true_category", 3.0, None)
+        return SC.Triage(*spam.result(), *cat.result(), None, None, None, ())
+
+
 def fit_triage(spark, sf, g=None) -> SC.Triage:
     """All models of one release, each on the predictions of the one before."""
     g = gold(spark, sf) if g is None else g
-    sfm = FT.fit_features(g, SPAM)
-    spam = LM.fit_model(g, sfm, "is_spam", 1.0, [0, 1])
-    cfm = FT.fit_features(g, CATEGORY)
-    cat = LM.fit_model(g, cfm, "true_category", 3.0)
-    part = SC.Triage(sfm, spam, cfm, cat, None, None, None, ())
+    part = fit_linear(g)
+    sfm, spam, cfm, cat = part.spam_features, part.spam, part.category_features, part.category
     rows = materialize(with_sentiment(SC.score_linear(g, part).drop("category_confidence"), spark, sf), "priority-rows")
     pfm = FT.fit_features(rows, PRIORITY)
     m = pfm.matrix(rows, ["true_priority", "true_bucket"], "priority")
@@ -165,10 +175,7 @@ def m15(spark, sf):
 @query("l5_threshold_and_argmax")
 def l5(spark, sf):
     """Spam threshold, arg-max label and confidences of the linear models over all documents."""
-    g = gold(spark, sf)
-    sfm, cfm = FT.fit_features(g, SPAM), FT.fit_features(g, CATEGORY)
-    t = SC.Triage(sfm, LM.fit_model(g, sfm, "is_spam", 1.0, [0, 1]),
-                  cfm, LM.fit_model(g, cfm, "true_category", 3.0), None, None, None, ())
+    t = fit_linear(gold(spark, sf))
     r = SC.score_linear(messages(spark, sf), t)
     return r.select("msg_id", S.spam_label(F.col("spam_conf")).alias("spam_label"), "category_label",
                     *[F.element_at("category_confidence", c).alias(f"conf_{c.lower()}") for c in K.CATEGORIES])

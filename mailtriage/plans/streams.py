@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mailtriage.functions import scores as S
-from mailtriage.models import features as FT, linear as LM, scoring as SC
+from mailtriage.models import features as FT, scoring as SC
 from mailtriage.operators import corrections as C
 from mailtriage.plans.personalisation import STATUS, current
 from mailtriage.plans.registry import CURRENT, query
@@ -23,11 +23,9 @@ def r1(spark, sf):
     """Arriving mail scored by the linear models: no state and no shuffle in the stream."""
     from mailtriage.functions.headers import header_map
     from mailtriage.functions.text import body_of, subject_of
-    from mailtriage.plans.modelling import CATEGORY, SPAM, gold
+    from mailtriage.plans.modelling import fit_linear, gold
 
-    g = gold(spark, sf)
-    sfm, cfm = FT.fit_features(g, SPAM), FT.fit_features(g, CATEGORY)
-    t = SC.Triage(sfm, LM.fit_model(g, sfm, "is_spam", 1.0, [0, 1]), cfm, LM.fit_model(g, cfm, "true_category", 3.0), None, None, None, ())
+    t = fit_linear(gold(spark, sf))
     mail = R.read_table_stream(spark, sf, "documents").selectExpr(*V.MAIL).select(
         "msg_id", "file", header_map("message").alias("headers"), subject_of("message").alias("subject"), body_of("message").alias("body"))
     scored = SC.score_linear(FT.message_features(mail, ["msg_id", "file"]), t)
