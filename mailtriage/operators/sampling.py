@@ -49,25 +49,18 @@ def rank_in_group(df: DataFrame, groups, key: str, seed, name: str = "rank") ->
 
     A window over a whole group would put it into one task. The hash order is cut into 4096 equal
     buckets instead: buckets are counted (a small table), their running totals give each bucket its
-    start, and rows are ranked inside their bucket. The join and the ranking share one exchange on
-    (group, bucket).
+    start, and rows are ranked inside their bucket. Group and bucket are one struct key, which is
+    null-safe and lets the ranking and a shuffled join share one exchange.
     """
     groups = _cols(groups)
-    keyed = df.withColumn("_h", content_key(key, seed)).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
-    counts = keyed.groupBy(*groups, "_b").agg(F.count("*").alias("_n"))
-    running = W.partitionBy(*groups).orderBy("_b")
+    keyed = df.withColumn("_h", content_key(key, seed)).withColumn(
+        "_k", F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)], F.substring("_h", 1, BUCKET_DIGITS).alias("b")))
+    counts = keyed.groupBy("_k").agg(F.count("*").alias("_n"))
+    whole = W.partitionBy(*[f"_k.g{i}" for i in range(len(groups))])
     starts = counts.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_b").alias("_bb"),
-        (F.sum("_n").over(running) - F.col("_n")).alias("_start"),
-        F.sum("_n").over(W.partitionBy(*groups)).alias("group_size"),
-    )
-    on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)] + [F.col("_b") == F.col("_bb")]
-    inside = W.partitionBy(*groups, "_b").orderBy("_h", key)
-    return (
-        keyed.withColumn("_rn", F.row_number().over(inside)).join(starts, on)
-        .withColumn(name, F.col("_start") + F.col("_rn"))
-        .drop("_h", "_b", "_bb", "_rn", "_start", *[f"_g{i}" for i in range(len(groups))])
-    )
+        "_k", (F.sum("_n").over(whole.orderBy("_k.b")) - F.col("_n")).alias("_start"), F.sum("_n").over(whole).alias("group_size"))
+    ranked = keyed.withColumn("_rn", F.row_number().over(W.partitionBy("_k").orderBy("_h", key)))
+    return ranked.join(starts, "_k").withColumn(name, F.col("_start") + F.col("_rn")).drop("_h", "_k", "_rn", "_start")
 
 
 def sample_fraction(df: DataFrame, groups, key: str, fraction: float, seed) -> DataFrame:
