@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mailtriage import constants as K
 from mailtriage.operators import corrections as C, mailbox as MB
 from mailtriage.plans.registry import ATTEMPTS, CURRENT, FEEDBACK, MAILBOX, query
 from mailtriage.sources import tables as V

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mailtriage.functions import text as T
 from mailtriage.operators import sampling as SP
-from mailtriage.plans.registry import FEEDBACK, GOLD, PARSED, SCORED, query, clean_sql
+from mailtriage.plans.registry import FEEDBACK, PARSED, SCORED, clean_sql, query
 from mailtriage.sources import tables as V
 
 

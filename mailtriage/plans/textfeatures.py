@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mailtriage import constants as K
 from mailtriage.functions import scores as S, sparse as SV, text as T
 from mailtriage.functions.ngrams import char_wb_ngrams, word_ngrams
 from mailtriage.operators import numeric as N, vocab as VO
