@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -61,3 +62,18 @@ def spread_groups(df, *keys: str):
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give every executor this package, once per application.
+
+    Python tasks name its modules, so a worker that does not have the package on its path would fail
+    at the first one. Spark serves the archive to the executors itself.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_mailtriage_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="mailtriage-ship-"), "mailtriage-src")
+    sc.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(here), os.path.basename(here)))
+    sc._mailtriage_shipped = True
