@@ -30,16 +30,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt evenly over at least as many tasks as there are cores.
-
-    For work that costs far more than moving the rows; an input that already has enough splits stays
-    where it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def pieces(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The batch cut so that ``column`` holds at most about ``limit`` bytes in each piece.
 
@@ -55,7 +45,3 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
     if start < batch.num_rows:
         yield batch.slice(start)
 
-
-def numpy_longs(column: pa.Array):
-    """64-bit integers of a column without nulls, as a NumPy array."""
-    return column.to_numpy(zero_copy_only=False)

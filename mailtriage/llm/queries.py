@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailtriage.llm import exact_dedup
-from mailtriage.llm.common import documents
+from mailtriage.llm import bk_simhash, budget_mixing, exact_dedup, histogram_sort, licence_rules, maxscore, power_packing, toxicity_pu
+from mailtriage.llm.common import documents, residue, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,117 @@ SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n
 FROM n JOIN g ON n.norm = g.norm""")
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
+
+
+@query("op3_histogram_sort")
+def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return histogram_sort.shard_by_bytes(docs.withColumn("text_crc32", F.crc32(text_of()))).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_power_packing")
+def op8_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return power_packing.pack(documents(spark, sf_dir), *tokenizer_files(), with_ids=False)
+
+
+def tokenizer_files() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+# The tree above language and source, and the weights: a node without one weighs 1.
+DOMAINS = ["web", "books", "forums", "reference"]
+DOMAIN_SQL = "CASE " + " ".join(f"WHEN source IN ({', '.join(repr(f'src{n}') for n in range(5 * i, 5 * i + 5))}) THEN '{d}'" for i, d in enumerate(DOMAINS)) + " ELSE 'other' END"
+WEIGHTS = {"web": 4, "books": 3, "forums": 2, "reference": 2, **{f"{d}/en": 4 for d in DOMAINS}, **{f"{d}/de": 2 for d in DOMAINS}, "web/en/src0": 2, "books/en/src7": 3, "forums/fr/src12": 2}
+BUDGET_PERCENT, EPOCHS = 80, 2
+
+
+def mixing_weights(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(sorted(WEIGHTS.items()), "node string, weight bigint")
+
+
+def _mixing_sql() -> str:
+    out = f"""WITH weights(node, weight) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in sorted(WEIGHTS.items()))}),
+d AS (SELECT doc_id, {DOMAIN_SQL} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM documents),
+leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) AS BIGINT) * {EPOCHS} AS cap FROM d GROUP BY ALL),
+b0 AS (SELECT least(sum(tokens)::BIGINT * {BUDGET_PERCENT} // 100, sum(cap)::BIGINT) AS share FROM leaves)"""
+    for n, level in enumerate(budget_mixing.LEVELS, 1):
+        path, parent = budget_mixing.LEVELS[:n], budget_mixing.LEVELS[:n - 1]
+        over = f"PARTITION BY {', '.join(parent)}" if parent else ""
+        joined = f"JOIN b{n - 1} p ON " + " AND ".join(f"p.{c} = l.{c}" for c in parent) if parent else "CROSS JOIN b0 p"
+        out += f""",
+c{n} AS (SELECT {', '.join('l.' + c for c in path)}, sum(l.cap)::BIGINT AS cap, any_value(p.share) AS budget FROM leaves l {joined} GROUP BY {', '.join('l.' + c for c in path)}),
+w{n} AS (SELECT c{n}.*, coalesce(w.weight, 1)::BIGINT AS weight FROM c{n} LEFT JOIN weights w ON w.node = concat_ws('/', {', '.join(path)})),
+f{n} AS (SELECT *, cap * sum(weight) OVER ({over} ORDER BY cap / weight, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+  <= (budget - coalesce(sum(cap) OVER ({over} ORDER BY cap / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight AS spent FROM w{n}),
+s{n} AS (SELECT *, (budget - sum(CASE WHEN spent THEN cap ELSE 0 END) OVER ({over}))::BIGINT AS rest, (sum(CASE WHEN spent THEN 0 ELSE weight END) OVER ({over}))::BIGINT AS total,
+  (sum(CASE WHEN spent THEN 0 ELSE weight END) OVER ({over} ORDER BY cap / weight, {level} ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM f{n}),
+b{n} AS (SELECT {', '.join(path)}, CASE WHEN spent THEN cap ELSE rest * upto // nullif(total, 0) - rest * (upto - weight) // nullif(total, 0) END AS share FROM s{n})"""
+    return out + f""",
+t AS (SELECT l.domain, l.lang, l.source, CASE WHEN l.tokens > 0 THEN share // l.tokens ELSE 0 END AS epochs, l.tokens AS leaf_tokens, share
+  FROM leaves l JOIN b3 USING (domain, lang, source)),
+o AS (SELECT d.*, t.epochs, share - leaf_tokens * epochs AS rest, md5(concat('{budget_mixing.SEED}:', epochs, ':', coalesce(CAST(doc_id AS VARCHAR), ''))) AS key
+  FROM d JOIN t USING (domain, lang, source)),
+p AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
+SELECT doc_id, domain, lang, source, tokens, epochs, greatest(0, least(tokens, rest - before))::BIGINT AS last_tokens,
+  (tokens * epochs + greatest(0, least(tokens, rest - before)))::BIGINT AS selected_tokens FROM p"""
+
+
+@query("op10_budget_mixing", _mixing_sql())
+def op10_budget_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = budget_mixing.mix(documents(spark, sf_dir), F.expr(DOMAIN_SQL), mixing_weights(spark), BUDGET_PERCENT, max_epochs=EPOCHS)
+    return mixed.select("doc_id", "domain", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "tokens", "epochs", "last_tokens", "selected_tokens")
+
+
+@query("op9_bk_simhash")
+def op9_bk_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bk_simhash.near_groups(documents(spark, sf_dir))
+
+
+def _licence_sql() -> str:
+    codes = licence_rules._codes()
+    table = ", ".join(f"'{s}': '{codes[n]}'" for n, s in licence_rules.SENTENCES.items())
+
+    def sequence(ends):
+        marked = f"regexp_replace(lower(replace(coalesce(text, ''), '|', ' ')), '{ends}', '|', 'g')"
+        sentences = f"string_split_regex(regexp_replace({marked}, '{licence_rules.NOT_WORD}', ' ', 'g'), ' *[|] *')"
+        return f"coalesce(array_to_string(list_transform({sentences}, lambda s: element_at(MAP {{{table}}}, trim(s))[1]), ''), '')"
+
+    out = f"WITH r0 AS (SELECT doc_id, {sequence(licence_rules.BY_LINE)} AS line, {sequence(licence_rules.ACROSS)} AS wrapped FROM documents), q0 AS (SELECT *, line AS l0, wrapped AS w0 FROM r0)"
+    for i, (_, _, rule) in enumerate(licence_rules.RULES):
+        pattern = "".join(codes[s] for s in rule)
+        n = [f"(length({c}{i}) - length(replace({c}{i}, '{pattern}', ''))) // {len(pattern)}" for c in "lw"]
+        out += f", q{i + 1} AS (SELECT *, replace(l{i}, '{pattern}', '') AS l{i + 1}, replace(w{i}, '{pattern}', '') AS w{i + 1}, greatest({n[0]}, {n[1]}) AS n{i + 1} FROM q{i})"
+    licences = ", ".join(f"CASE WHEN n{i + 1} > 0 THEN '{x[0]}' END" for i, x in enumerate(licence_rules.RULES))
+    rules = ", ".join(f"CASE WHEN n{i + 1} > 0 THEN concat('{x[1]}*', n{i + 1}) END" for i, x in enumerate(licence_rules.RULES))
+    first = "list_filter(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN c[i] IS NOT NULL AND NOT list_contains(c[1:i - 1], c[i]) THEN c[i] END), lambda x: x IS NOT NULL)"
+    return out + f""" SELECT doc_id, coalesce(array_to_string({first}, ','), '') AS licences, coalesce(array_to_string(list_filter(r, lambda x: x IS NOT NULL), ','), '') AS rules,
+  CAST(len(string_split(line, '<')) - 1 AS INTEGER) AS sentence_count FROM (SELECT *, [{licences}] AS c, [{rules}] AS r FROM q{len(licence_rules.RULES)})"""
+
+
+@query("op2_licence_rules", _licence_sql())
+def op2_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licence_rules.with_licences(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("licences", ",").alias("licences"), F.array_join("rules", ",").alias("rules"), "sentence_count")
+
+
+@query("op4_toxicity_pu")
+def op4_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity_pu.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    return toxicity_pu.with_scores(docs, model).select(
+        "doc_id", (residue("doc_id", toxicity_pu.FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_maxscore", """
+WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""")
+def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", maxscore.quantised().alias("ints"))
+    return maxscore.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
