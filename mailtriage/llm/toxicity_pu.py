@@ -7,7 +7,8 @@ the unlabelled add to the second term is taken off, and where that falls below z
 against it, so the model cannot gain by calling every unlabelled text clean.
 
 Fit, on a bounded sample (``max_positives``, ``max_unlabelled``, the smallest hashes of the ids): words by their
-presence in a text; the ``max_words`` words that lean most to the positives; several NumPy classifiers from
+presence in a text; the ``max_words`` words that lean most to the positives, of those in at least
+1 % (and 5) of them; several NumPy classifiers from
 different seeds, averaged. The driver gets the matrix of that sample and nothing else. Scoring is one narrow
 stage over whole texts with a model of at most ``max_words`` words.
 
@@ -36,6 +37,7 @@ MAX_POSITIVES = 6_000
 MAX_UNLABELLED = 12_000
 MAX_WORDS = 256
 LEAST_LEAN = 4.0
+LEAST_TEXTS, LEAST_SHARE = 5, 0.01
 FOLDS = 5
 CLASSIFIERS = 3
 
@@ -113,8 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES,
     positives = by_hash(usable.filter("toxic = 1"), max_positives).select("doc_id", F.lit(1).alias("positive"))
     others = by_hash(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter(residue("doc_id", FOLDS) != 0), max_unlabelled)
     others = others.select("doc_id", F.lit(0).alias("positive"))
-    # At most max_positives + max_unlabelled ids.
-    chosen = positives.unionByName(others).groupBy("doc_id").agg(F.max("positive").alias("positive"))
+    # At most max_positives + max_unlabelled ids; a positive that is drawn as unlabelled too counts on both sides, as the risk demands.
+    chosen = positives.unionByName(others)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), lowered().alias("data")).join(F.broadcast(chosen), "doc_id").select("positive", "data")
     texts = materialize(texts, "toxic-sample")
     sizes = dict(texts.groupBy("positive").count().collect())
@@ -124,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES,
     counts = texts.mapInArrow(_lean, "word binary, pos bigint, unl bigint").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
     share = (F.col("unl") + F.lit(0.5)) / (u + 1)
     lean = (F.col("pos") / p - share) / F.sqrt(share * (1 - share) / p)
-    top = counts.filter("pos >= 2").withColumn("lean", lean).filter(F.col("lean") >= LEAST_LEAN).orderBy(F.desc("lean"), "word").limit(max_words)
+    top = counts.filter(F.col("pos") >= max(LEAST_TEXTS, LEAST_SHARE * p)).withColumn("lean", lean).filter(F.col("lean") >= LEAST_LEAN).orderBy(F.desc("lean"), "word").limit(max_words)
     words = {bytes(r["word"]): i for i, r in enumerate(top.select("word").collect())}
 
     def rows(batches):
