@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailtriage.llm import bk_simhash, budget_mixing, exact_dedup, histogram_sort, licence_rules, maxscore, power_packing, toxicity_pu
+from mailtriage.llm import bk_simhash, budget_mixing, crf_language, exact_dedup, histogram_sort, licence_rules, maxscore, power_packing, toxicity_pu
 from mailtriage.llm.common import documents, residue, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,11 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", maxscore.quantised().alias("ints"))
     return maxscore.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@query("op6_crf_language")
+def op6_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = crf_language.fit(docs.select("doc_id", "text", "lang"))
+    held_out = (residue("doc_id", crf_language.FOLDS) == crf_language.HELD_OUT).alias("held_out")
+    return crf_language.with_language(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
