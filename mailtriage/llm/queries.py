@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailtriage.llm import bk_simhash, budget_mixing, crf_language, exact_dedup, histogram_sort, licence_rules, maxscore, power_packing, toxicity_pu
+from mailtriage.llm import bk_simhash, budget_mixing, crf_language, exact_dedup, histogram_sort, licence_rules, maxscore, power_packing, skip_chain_pii, toxicity_pu
 from mailtriage.llm.common import documents, residue, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,9 @@ def op6_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = crf_language.fit(docs.select("doc_id", "text", "lang"))
     held_out = (residue("doc_id", crf_language.FOLDS) == crf_language.HELD_OUT).alias("held_out")
     return crf_language.with_language(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
+
+
+@query("op5_skip_chain_pii")
+def op5_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return skip_chain_pii.with_spans(docs, skip_chain_pii.fit(docs)).drop("text")
