@@ -42,8 +42,10 @@ def _key_columns() -> list[Column]:
 
 def _key_bytes(parts: list[np.ndarray]) -> np.ndarray:
     """Three signed longs as 24 bytes whose byte order is the order of the keys."""
-    flipped = [(p.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8") for p in parts]
-    return np.stack(flipped, axis=1).copy().view("S24").ravel()
+    out = np.empty((len(parts[0]), len(parts)), ">u8")
+    for i, p in enumerate(parts):
+        out[:, i] = p.view(np.uint64) ^ np.uint64(1 << 63)
+    return out.view("S24").ravel()
 
 
 def _as_bytes(keys: list[int]) -> np.ndarray:
