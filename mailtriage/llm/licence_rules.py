@@ -70,8 +70,9 @@ RULES = [
     ("unlicense", "unlicense-text", ["unlicense"]),
 ]
 
-# Ends of sentences: punctuation before white space or the end; and, in the first reading, every line end.
-BY_LINE, ACROSS = r"[.;:!?]+(?:[ \t]|$|\n)|[\r\n]", r"[.;:!?]+(?:\s|$)"
+# Ends of sentences: punctuation before white space or the end; every line end in the first reading, blank lines in the second.
+BY_LINE = r"[.;:!?]+(?:[ \t\r\n]|\z)|[\r\n]"
+ACROSS = r"[.;:!?]+(?:[ \t\r\n]|\z)|\n[ \t\r]*\n"
 NOT_WORD = "[^a-z0-9|]+"
 
 
