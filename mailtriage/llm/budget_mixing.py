@@ -74,24 +74,27 @@ def _order(epoch: Column, seed: int) -> Column:
 
 def mix(docs: DataFrame, domain: Column, weights: DataFrame, budget_num: int, budget_den: int = 100, max_epochs: int = 1, seed: int = SEED) -> DataFrame:
     """``docs`` with domain, tokens, epochs (whole ones taken), last_tokens (taken in the last, partial epoch) and selected_tokens."""
-    keyed = docs.withColumns({"tokens": tokens_of(), "domain": F.coalesce(domain, F.lit("")), "__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit(""))})
-    leaf = ["domain", "__lang", "__source"]
-    sums = keyed.groupBy(*leaf).agg(F.sum("tokens").alias("tokens")).toDF(*LEVELS, "tokens")
+    keys = {"__domain": F.coalesce(domain, F.lit("")), "__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit(""))}
+    leaf = list(keys)
+    keyed = docs.withColumns({**keys, "__tokens": tokens_of()})
+    sums = keyed.groupBy(*leaf).agg(F.sum("__tokens").alias("tokens")).toDF(*LEVELS, "tokens")
     budgets = leaf_budgets(materialize(sums, "mix-leaves"), weights, budget_num, budget_den, max_epochs)
     whole = F.when(F.col("leaf_tokens") > 0, F.expr("budget div leaf_tokens")).otherwise(0)
-    budgets = materialize(budgets.withColumn("epochs", whole).withColumn("rest", F.col("budget") - F.col("leaf_tokens") * F.col("epochs")).toDF("domain", "__lang", "__source", "leaf_tokens", "budget", "epochs", "rest"), "mix-budgets")
+    budgets = budgets.select(*LEVELS, whole.alias("epochs"), (F.col("budget") - F.col("leaf_tokens") * whole).alias("rest"))
     # Leaves are few: domains, languages and sources, never documents. Spark checks the size before it broadcasts.
-    placed = keyed.join(budgets, leaf).withColumn("__key", _order(F.col("epochs"), seed)).withColumn("__bucket", F.substring("__key", 1, BUCKET_DIGITS))
-    per_bucket = placed.groupBy(*leaf, "__bucket").agg(F.sum("tokens").alias("in_bucket"))
+    placed = keyed.join(materialize(budgets.toDF(*leaf, "__epochs", "__rest"), "mix-budgets"), leaf)
+    placed = placed.withColumn("__key", _order(F.col("__epochs"), seed)).withColumn("__bucket", F.substring("__key", 1, BUCKET_DIGITS))
+    per_bucket = placed.groupBy(*leaf, "__bucket").agg(F.sum("__tokens").alias("__within"))
     running = Window.partitionBy(*leaf).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    below = per_bucket.withColumn("__below", F.coalesce(F.sum("in_bucket").over(running), F.lit(0)))
-    below = materialize(below.select(*leaf, "__bucket", "in_bucket", "__below"), "mix-buckets")
-    dealt = placed.join(below, [*leaf, "__bucket"])
-    left = F.col("rest") - F.col("__below")
-    own = ["__lang", "__source", "__key", "__bucket", "in_bucket", "__below", "leaf_tokens", "budget", "rest"]
-    cut = (left > 0) & (left < F.col("in_bucket"))
-    clear = dealt.filter(~cut).withColumn("last_tokens", F.when(left >= F.col("in_bucket"), F.when(F.col("rest") > 0, F.col("tokens")).otherwise(0)).otherwise(0))
-    prefix = F.coalesce(F.sum("tokens").over(Window.partitionBy(*leaf, "__bucket").orderBy("__key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = dealt.filter(cut).withColumn("last_tokens", F.greatest(F.lit(0), F.least(F.col("tokens"), left - prefix)))
-    out = clear.unionByName(last).withColumn("selected_tokens", F.col("tokens") * F.col("epochs") + F.col("last_tokens"))
-    return out.drop(*own)
+    below = per_bucket.withColumn("__below", F.coalesce(F.sum("__within").over(running), F.lit(0)))
+    dealt = placed.join(materialize(below, "mix-buckets"), [*leaf, "__bucket"])
+    left = F.col("__rest") - F.col("__below")
+    cut = (left > 0) & (left < F.col("__within"))
+    clear = dealt.filter(~cut).withColumn("__last", F.when((F.col("__rest") > 0) & (left >= F.col("__within")), F.col("__tokens")).otherwise(0))
+    # Only the one bucket per leaf in which the budget ends is ranked.
+    before = Window.partitionBy(*leaf, "__bucket").orderBy("__key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = F.coalesce(F.sum("__tokens").over(before), F.lit(0))
+    ends = dealt.filter(cut).withColumn("__last", F.greatest(F.lit(0), F.least(F.col("__tokens"), left - prefix)))
+    out = clear.unionByName(ends)
+    results = {"domain": F.col("__domain"), "tokens": F.col("__tokens"), "epochs": F.col("__epochs"), "last_tokens": F.col("__last"), "selected_tokens": F.col("__tokens") * F.col("__epochs") + F.col("__last")}
+    return out.withColumns(results).drop(*leaf, "__tokens", "__epochs", "__rest", "__key", "__bucket", "__within", "__below", "__last")
