@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # ASCII white space and its complement, as the operators' contracts state them.
@@ -35,7 +36,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
 
     One larger value makes a piece of its own, so no value is cut or left out.
     """
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:
