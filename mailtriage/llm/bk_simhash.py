@@ -59,8 +59,8 @@ def fingerprint(data: bytes, words: int = 3) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole, "data", BATCH_BYTES):
-            fps = np.array([fingerprint(x.as_buffer().to_pybytes()) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(x.as_buffer().to_pybytes()) for x in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "text_key", "fp"])
 
 
 class BKTree:
@@ -202,11 +202,10 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: one row per row of ``docs``."""
+def _grouped(docs: DataFrame, radius: int) -> DataFrame:
     ship(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().cast("binary").alias("data"))
-    marked = materialize(texts.mapInArrow(_fingerprints, "doc_id bigint, fp bigint"), "simhash-rows")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of()).alias("text_key"), text_of().cast("binary").alias("data"))
+    marked = materialize(texts.mapInArrow(_fingerprints, "doc_id bigint, text_key bigint, fp bigint"), "simhash-rows")
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
     roots = components(links_of(nodes.select("fp"), radius))
     members = roots.union(roots.select("root", "root").distinct())
@@ -215,11 +214,20 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     named = linked.join(least, "root").select("fp", "component_id")
     named = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
     named = materialize(named, "simhash-components")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(named, "fp")
+
+
+def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: one row per row of ``docs``."""
+    return _grouped(docs, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component, with their columns; a component without ids stays whole."""
-    groups = near_groups(docs, radius)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` whose doc_id names their component, with their columns.
+
+    A component without ids stays whole, and rows equal in id and text stay together: exact copies are another operator's.
+    """
+    gone = _grouped(docs, radius).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key")).distinct()
+    own = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of()) == F.col("__text_key"))
+    return docs.join(gone, own, "left_anti")
