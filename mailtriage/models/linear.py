@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mailtriage.functions.text import let
 from mailtriage.operators.numeric import class_weights
 from mailtriage.operators.vocab import constant_array
-from mailtriage.session import spread_groups
 
 
 @dataclass
@@ -57,6 +55,10 @@ def _product(weights: Column):
 FIT_ROWS_PER_TASK = 20_000
 
 
+# Steps that a search may take before it counts as failed.
+MAX_STEPS = 1000
+
+
 def fit_partitions(rows: DataFrame, n: float) -> DataFrame:
     """Fewer partitions for a small matrix; a large one keeps the partitions it has."""
     return rows.coalesce(max(1, int(n) // FIT_ROWS_PER_TASK))
@@ -73,11 +75,11 @@ def sorted_classes(df: DataFrame, label: str) -> list:
 
 
 def fit_logistic(matrix: DataFrame, label: str, C: float, weight: str | None = None, balanced: bool = True,
-                 classes: Sequence | None = None, max_iter: int = 300, tol: float = 1e-8) -> LinearModel:
+                 classes: Sequence | None = None, max_iter: int = MAX_STEPS, tol: float = 1e-8) -> LinearModel:
     """Logistic regression whose penalty matches an inverse strength ``C`` on the summed loss.
 
     Spark averages the loss, so the penalty is ``1 / (C * sum of weights)``. Balanced weights add up
-    to the number of rows.
+    to the number of rows. A search that has not ended after ``max_iter`` steps raises.
     """
     classes = list(classes) if classes is not None else sorted_classes(matrix, label)
     rows = index_labels(matrix, label, classes)
@@ -91,10 +93,17 @@ def fit_logistic(matrix: DataFrame, label: str, C: float, weight: str | None = N
         featuresCol="features", labelCol="_y", weightCol="weight", regParam=1.0 / (C * total), elasticNetParam=0.0,
         standardization=False, maxIter=max_iter, tol=tol, family="binomial" if len(classes) == 2 else "multinomial",
     ).fit(fit_partitions(rows.select("_y", "weight", "features"), n))
+    require_end(model, max_iter)
     return LinearModel(classes, model.coefficientMatrix.toArray(), np.asarray(model.interceptVector.toArray()))
 
 
-def fit_ridge(matrix: DataFrame, target: str, alpha: float = 5.0) -> LinearModel:
+def require_end(model, max_iter: int) -> None:
+    """Raise unless the search ended by its tolerance before the last step that it may take."""
+    if model.hasSummary and model.summary.totalIterations >= max_iter:
+        raise RuntimeError(f"the fit has not converged after {max_iter} steps")
+
+
+def fit_ridge(matrix: DataFrame, target: str, alpha: float = 5.0, max_iter: int = MAX_STEPS) -> LinearModel:
     """Ridge regression with penalty ``alpha`` on the summed squared error.
 
     Spark divides the target by its sample deviation before it penalises; the penalty is scaled back.
@@ -102,66 +111,16 @@ def fit_ridge(matrix: DataFrame, target: str, alpha: float = 5.0) -> LinearModel
     stats = matrix.agg(F.count("*").alias("n"), F.stddev_samp(target).alias("sd")).first()
     model = LinearRegression(
         featuresCol="features", labelCol=target, elasticNetParam=0.0, standardization=False, solver="l-bfgs",
-        regParam=alpha * stats.sd / stats.n, maxIter=500, tol=1e-10,
+        regParam=alpha * stats.sd / stats.n, maxIter=max_iter, tol=1e-10,
     ).fit(fit_partitions(matrix, stats.n))
+    require_end(model, max_iter)
     return LinearModel([target], np.asarray([model.coefficients.toArray()]), np.asarray([model.intercept]))
 
 
-# A fit of at most this many rows runs in one task; any larger one is distributed by Spark ML.
-SMALL_FIT_ROWS = 20_000
-FITTED = "coefficients array<double>, intercepts array<double>"
-
-
-def fit_groups(rows: DataFrame, groups: Sequence[str], dims: dict, label: str, strength: float,
-               classes: Sequence | None = None, weight: str | None = None, balanced: bool = True) -> dict[tuple, LinearModel]:
-    """One fit per group, each in its own task, all in one Spark job: folds, settings, users.
-
-    ``rows`` carries ``indices`` and ``values``. With ``classes`` it is logistic regression and
-    ``strength`` the inverse penalty; without, ridge regression and its penalty. Callers check that
-    no group has more than ``SMALL_FIT_ROWS`` rows.
-    """
-    from mailtriage.models import solver
-
-    names = list(groups)
-    table = {tuple(k): d for k, d in dims.items()}
-    known = list(classes) if classes is not None else None
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = solver.Rows(pdf["indices"].tolist(), pdf["values"].tolist(), table[tuple(key)])
-        w = pdf["_w"].to_numpy(dtype=float)
-        if known is None:
-            coef, b = solver.fit_squared(x, pdf["_t"].to_numpy(dtype=float), w, strength)
-        else:
-            y = np.array([known.index(v) for v in pdf["_t"]], dtype=np.int64)
-            w = w * solver.balanced(y, len(known)) if balanced else w
-            coef, b = solver.fit_classes(x, y, w, len(known), strength)
-        return pd.DataFrame([[*key, coef.ravel(), b]], columns=[*names, "coefficients", "intercepts"])
-
-    types = ", ".join(f"{g} {dict(rows.dtypes)[g]}" for g in names)
-    target = F.col(label) if known is not None else F.col(label).cast("double")
-    picked = rows.select(*names, "indices", "values", target.alias("_t"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
-    fitted = spread_groups(picked, *names).groupBy(*names).applyInPandas(fit, f"{types}, {FITTED}").collect()
-    out = {}
-    for r in fitted:
-        key = tuple(r[g] for g in names)
-        b = np.asarray(r.intercepts)
-        out[key] = LinearModel(known or [label], np.asarray(r.coefficients).reshape(len(b), table[key]), b)
-    return out
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether a training set may be fitted in one task; counts no further than the limit."""
-    return df.select(F.lit(1)).limit(SMALL_FIT_ROWS + 1).count() <= SMALL_FIT_ROWS
-
-
-def fit_model(df: DataFrame, features, label: str, strength: float, classes: Sequence | None = None, ridge: bool = False) -> LinearModel:
-    """Fit on the feature rows of ``df``: one task for a small set, Spark ML for any other."""
-    if classes is None and not ridge:
-        classes = sorted_classes(df, label)
-    if is_small(df):
-        rows = features.transform(df).select(F.lit(0).alias("g"), "indices", "values", label)
-        return fit_groups(rows, ["g"], {(0,): features.dim}, label, strength, classes)[(0,)]
-    matrix = features.matrix(df, [label], "fit")
+def fit_model(df: DataFrame, features, label: str, strength: float, classes: Sequence | None = None, ridge: bool = False,
+              name: str = "fit") -> LinearModel:
+    """Fit on the feature rows of ``df`` by Spark ML, whatever their number."""
+    matrix = features.matrix(df, [label], name)
     return fit_ridge(matrix, label, strength) if ridge else fit_logistic(matrix, label, strength, classes=classes)
 
 

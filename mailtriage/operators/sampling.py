@@ -92,6 +92,11 @@ def half_split(df: DataFrame, groups, key: str, seed, minimum: int = 4) -> DataF
     return ranked.withColumn("half", F.when(F.col("group_size") >= minimum, half)).drop("rank", "group_size")
 
 
+def message_key(subject: str, body: str, prefix: int | None = None) -> Column:
+    """Content key of a message. With ``prefix`` only that many characters of the body count, so rows that differ later are lost."""
+    return F.concat_ws("||", subject, body if prefix is None else F.substring(body, 1, prefix))
+
+
 def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
     """One row per content key, the one with the smallest ``order`` value.
 

@@ -164,7 +164,7 @@ def l14(spark, sf):
 
 @query("f1_min_clean_length", f"SELECT doc_id, clean FROM (SELECT doc_id, {clean_sql('text')} AS clean FROM documents) WHERE length(clean) >= 10")
 def f1(spark, sf):
-    d = V.load_text(spark, sf, "documents", "doc_id").select("doc_id", T.clean_text("text").alias("clean"))
+    d = V.load_text(spark, sf, "documents", "doc_id", spread=True).select("doc_id", T.clean_text("text").alias("clean"))
     return d.filter(F.length("clean") >= K.MIN_CLEAN_CHARS)
 
 
@@ -377,12 +377,11 @@ def a9(spark, sf):
 
 @query("a10_false_positive_rate", f"""WITH {SCORED} SELECT count(*) AS n, count(*) FILTER (spam_conf >= 0.5) AS n_flagged,
   round(avg(CASE WHEN spam_conf >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM (SELECT * FROM scored
-    WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY md5(concat('99:', cast(doc_id AS VARCHAR))), doc_id LIMIT 5000)""")
+    WHERE doc_id NOT IN (SELECT doc_id FROM labels))""")
 def a10(spark, sf):
     fresh = V.scored(spark, sf).select("doc_id", "spam_conf").join(V.load(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
-    picked = fresh.orderBy(T.content_key("doc_id", 99), "doc_id").limit(5000)
     hit = F.col("spam_conf") >= K.SPAM_THRESHOLD
-    return picked.agg(F.count("*").alias("n"), F.count_if(hit).alias("n_flagged"), F.round(F.avg(hit.cast("double")), 6).alias("rate"))
+    return fresh.agg(F.count("*").alias("n"), F.count_if(hit).alias("n_flagged"), F.round(F.avg(hit.cast("double")), 6).alias("rate"))
 
 
 @query("a11_confidence_distribution", f"""WITH {SCORED} SELECT count(*) AS count, round(avg(confidence), 6) AS mean, round(stddev_samp(confidence), 6) AS std,
@@ -452,7 +451,7 @@ def a18(spark, sf):
 @query("a19_feature_class_means", f"""WITH s AS ({STYLE_SQL}) SELECT l.quality, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in K.STYLE_COLS)}
   FROM s JOIN labels l ON l.doc_id = s.doc_id GROUP BY l.quality""")
 def a19(spark, sf):
-    f = V.load_text(spark, sf, "documents", "doc_id").select("doc_id", *style_features("source", "text"))
+    f = V.load_text(spark, sf, "documents", "doc_id", spread=True).select("doc_id", *style_features("source", "text"))
     f = f.withColumns({c: F.round(c, 6) for c in ("text_len_log", "excl_density")})
     return f.join(V.load(spark, sf, "labels"), "doc_id").groupBy("quality").agg(
         F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in K.STYLE_COLS])

@@ -13,13 +13,13 @@ from mailtriage.sources import tables as V
 
 @query("p1_clean_text", f"SELECT doc_id, {clean_sql('text')} AS clean FROM documents")
 def p1(spark, sf):
-    return V.load_text(spark, sf, "documents", "doc_id").select("doc_id", T.clean_text("text").alias("clean"))
+    return V.load_text(spark, sf, "documents", "doc_id", spread=True).select("doc_id", T.clean_text("text").alias("clean"))
 
 
 @query("p2_clean_text_strip_routing",
        f"SELECT doc_id, {clean_sql('text', K.ROUTING_WORDS)} AS clean FROM documents")
 def p2(spark, sf):
-    return V.load_text(spark, sf, "documents", "doc_id").select("doc_id", T.clean_text("text", strip_routing=True).alias("clean"))
+    return V.load_text(spark, sf, "documents", "doc_id", spread=True).select("doc_id", T.clean_text("text", strip_routing=True).alias("clean"))
 
 
 @query("p3_split_message", f"WITH {PARSED} SELECT msg_id, head, body FROM parsed")
@@ -124,7 +124,7 @@ STYLE_SQL = f"""SELECT doc_id, round(ln(1 + length(full_text)), 6) AS text_len_l
 
 @query("p15_style_features", STYLE_SQL)
 def p15(spark, sf):
-    d = V.load_text(spark, sf, "documents", "doc_id").select("doc_id", *style_features("source", "text"))
+    d = V.load_text(spark, sf, "documents", "doc_id", spread=True).select("doc_id", *style_features("source", "text"))
     return d.withColumns({c: F.round(c, 6) for c in ("text_len_log", "excl_density")})
 
 
@@ -136,7 +136,7 @@ KEYWORD_SQL = f"""SELECT doc_id, {count_sql('full_text', K.HIGH_WORDS)} AS kw_hi
 
 @query("p16_keyword_features", KEYWORD_SQL)
 def p16(spark, sf):
-    return V.load_text(spark, sf, "documents", "doc_id").select("doc_id", *keyword_features("source", "text"))
+    return V.load_text(spark, sf, "documents", "doc_id", spread=True).select("doc_id", *keyword_features("source", "text"))
 
 
 HEADER_SQL = f"""SELECT msg_id,
@@ -173,7 +173,7 @@ HTML_SQL = """trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_r
 
 @query("p19_html_to_text", f"SELECT page_id, {HTML_SQL.format('html')} AS body FROM pages")
 def p19(spark, sf):
-    return V.load_text(spark, sf, "pages", "page_id").select("page_id", M.html_to_text("html").alias("body"))
+    return V.load_text(spark, sf, "pages", "page_id", spread=True).select("page_id", M.html_to_text("html").alias("body"))
 
 
 def base64url(c):
@@ -182,7 +182,7 @@ def base64url(c):
 
 @query("p20_base64url_decode", "SELECT doc_id, text AS decoded FROM documents")
 def p20(spark, sf):
-    d = V.load_text(spark, sf, "documents", "doc_id").select("doc_id", base64url(F.col("text")).alias("data"))
+    d = V.load_text(spark, sf, "documents", "doc_id", spread=True).select("doc_id", base64url(F.col("text")).alias("data"))
     return d.select("doc_id", M.decode_base64url(F.col("data")).alias("decoded"))
 
 
@@ -191,7 +191,7 @@ def provider_messages(spark, sf):
 
     Every third has only HTML, deep inside the tree; the others have a plain part beside it.
     """
-    d = V.load_text(spark, sf, "documents", "doc_id")
+    d = V.load_text(spark, sf, "documents", "doc_id", spread=True)
     html = F.concat(F.lit("<p>"), F.replace(F.col("text"), F.lit("<"), F.lit("")), F.lit("&nbsp;<b>end</b></p>"))
 
     def part(kind, data):
@@ -254,7 +254,7 @@ LINKS_CTE = f"""found AS (SELECT page_id, body, regexp_extract_all(body, '{LINK_
 
 
 def page_text(spark, sf):
-    return V.load_text(spark, sf, "pages", "page_id").select(
+    return V.load_text(spark, sf, "pages", "page_id", spread=True).select(
         "page_id", F.concat(F.col("url"), F.lit(" see ("), F.col("url"), F.lit("). "), F.col("html")).alias("body"))
 
 
@@ -276,14 +276,14 @@ def p24(spark, sf):
   '(?m)[ \\t]+$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS tidy
   FROM (SELECT doc_id, replace(text, '. ', '.  ' || chr(13) || chr(10) || chr(10) || ' ' || chr(10) || chr(10)) AS body FROM documents)""")
 def p25(spark, sf):
-    d = V.load_text(spark, sf, "documents", "doc_id").select(
+    d = V.load_text(spark, sf, "documents", "doc_id", spread=True).select(
         "doc_id", F.replace(F.col("text"), F.lit(". "), F.lit(".  \r\n\n \n\n")).alias("body"))
     return d.select("doc_id", T.tidy_plain_text("body").alias("tidy"))
 
 
 @query("p26_snippet", "SELECT doc_id, substring(replace(text, chr(10), ' '), 1, 500) AS snippet FROM documents")
 def p26(spark, sf):
-    return V.load_text(spark, sf, "documents", "doc_id").select("doc_id", T.snippet("text", 500).alias("snippet"))
+    return V.load_text(spark, sf, "documents", "doc_id", spread=True).select("doc_id", T.snippet("text", 500).alias("snippet"))
 
 
 @query("p27_two_entry_points", f"WITH {PARSED} {HEADER_SQL}")
@@ -300,6 +300,6 @@ def p27(spark, sf):
 @query("x1_x2_feature_frame", f"""SELECT s.*, k.* EXCLUDE (doc_id) FROM ({STYLE_SQL}) s JOIN ({KEYWORD_SQL}) k ON s.doc_id = k.doc_id""")
 def x1(spark, sf):
     """Row functions as columns of one projection; nothing leaves the JVM."""
-    d = V.load_text(spark, sf, "documents", "doc_id").select(
+    d = V.load_text(spark, sf, "documents", "doc_id", spread=True).select(
         "doc_id", *style_features("source", "text"), *keyword_features("source", "text"))
     return d.withColumns({c: F.round(c, 6) for c in ("text_len_log", "excl_density")})

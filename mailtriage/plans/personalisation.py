@@ -81,13 +81,12 @@ def a15(spark, sf):
     return C.remaining(current(spark, sf), V.attempts(spark, sf))
 
 
-@query("a16_changed_since_attempt", f"""WITH {BOTH}, lastp AS (SELECT * FROM attempts WHERE passed = 1
-    QUALIFY row_number() OVER (PARTITION BY user_id, model ORDER BY version DESC) = 1),
+@query("a16_changed_since_attempt", f"""WITH {BOTH},
   n AS (SELECT user_id, model, max(created_at) AS last_correction FROM current GROUP BY ALL)
-  SELECT n.* FROM n LEFT JOIN lastp l ON l.user_id = n.user_id AND l.model = n.model WHERE l.created_at IS NULL OR n.last_correction > l.created_at""")
+  SELECT n.* FROM n LEFT JOIN last l ON l.user_id = n.user_id AND l.model = n.model WHERE l.created_at IS NULL OR n.last_correction > l.created_at""")
 def a16(spark, sf):
-    """Corrections newer than the last attempt that passed."""
-    return C.changed_since_attempt(current(spark, sf), V.attempts(spark, sf).filter("passed = 1"))
+    """Corrections newer than the last attempt, whether it passed or not."""
+    return C.changed_since_attempt(current(spark, sf), V.attempts(spark, sf))
 
 
 @query("a22_version_key", f"""WITH {STATUS} SELECT user_id, string_agg(concat(model, ':', version), ',' ORDER BY concat(model, ':', version)) AS version_key

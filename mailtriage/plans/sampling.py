@@ -61,18 +61,17 @@ def w5(spark, sf):
     return SP.bounded_chunk_sample(V.load(spark, sf, "documents").select("doc_id"), "doc_id", 8, 60, 300, 5)
 
 
-@query("w6_dedup_by_message", """SELECT min(doc_id) AS doc_id FROM documents GROUP BY concat(source, '||', substring(text, 1, 300))""")
+@query("w6_dedup_by_message", """SELECT min(doc_id) AS doc_id FROM documents GROUP BY concat(source, '||', text)""")
 def w6(spark, sf):
-    """Key: subject and the first 300 characters of the body, the reference's own key."""
+    """Key: subject and body, whole."""
     d = V.load(spark, sf, "documents")
-    key = F.concat_ws("||", "source", F.substring("text", 1, 300))
-    return SP.keep_first(d.select("doc_id", key.alias("key")), F.col("key"), "doc_id").select("doc_id")
+    return SP.keep_first(d.select("doc_id", "source", "text"), SP.message_key("source", "text"), "doc_id").select("doc_id")
 
 
-@query("w6b_dedup_by_clean_text", f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY substring({clean_sql('text')}, 1, 150)")
+@query("w6b_dedup_by_clean_text", f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {clean_sql('text')}")
 def w6b(spark, sf):
-    """Key: the first 150 characters of the cleaned text."""
-    d = V.load_text(spark, sf, "documents", "doc_id").select("doc_id", F.substring(T.clean_text("text"), 1, 150).alias("key"))
+    """Key: the cleaned text, whole."""
+    d = V.load_text(spark, sf, "documents", "doc_id", spread=True).select("doc_id", T.clean_text("text").alias("key"))
     return SP.keep_first(d, F.col("key"), "doc_id").select("doc_id")
 
 
@@ -83,12 +82,12 @@ def w7(spark, sf):
 
 @query("w7b_active_pool", f"""WITH {SCORED} SELECT doc_id, predicted, confidence, substring(text, 1, 800) AS body, '' AS true_category FROM scored
   WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-  QUALIFY row_number() OVER (PARTITION BY concat(source, '||', substring(text, 1, 300)) ORDER BY doc_id) = 1 ORDER BY confidence, doc_id LIMIT 100""")
+  QUALIFY row_number() OVER (PARTITION BY concat(source, '||', text) ORDER BY doc_id) = 1 ORDER BY confidence, doc_id LIMIT 100""")
 def w7b(spark, sf):
     """The active-learning pool: unlabelled, one row per content, least confident first."""
     fresh = V.scored(spark, sf).join(V.load(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
-    key = F.concat_ws("||", "source", F.substring("text", 1, 300))
-    pool = SP.keep_first(fresh.select("doc_id", "predicted", "confidence", key.alias("key"), F.substring("text", 1, 800).alias("body")),
+    key = SP.message_key("source", "text")
+    pool = SP.keep_first(fresh.select("doc_id", "predicted", "confidence", F.md5(key).alias("key"), F.substring("text", 1, 800).alias("body")),
                          F.col("key"), "doc_id")
     picked = pool.orderBy("confidence", "doc_id").limit(100)
     return picked.select("doc_id", "predicted", "confidence", "body", F.lit("").alias("true_category"))

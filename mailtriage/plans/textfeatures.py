@@ -18,7 +18,7 @@ STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
 def cleaned(spark, sf):
-    return V.load_text(spark, sf, "documents", "doc_id").select("doc_id", T.clean_text("text").alias("clean"))
+    return V.load_text(spark, sf, "documents", "doc_id", spread=True).select("doc_id", T.clean_text("text").alias("clean"))
 
 
 CLEANED = f"cleaned AS (SELECT doc_id, {clean_sql('text')} AS clean FROM documents)"

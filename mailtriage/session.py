@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,15 +32,26 @@ def build_session(cpus: str | int = "*", app: str = "mailtriage", **conf: str) -
     return spark
 
 
+_OWN_FOLDER: list[str] = []
+
+
+def _local_folder(master: str) -> str:
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
+    if not _OWN_FOLDER:
+        _OWN_FOLDER.append(tempfile.mkdtemp(prefix="mailtriage-"))
+        atexit.register(shutil.rmtree, _OWN_FOLDER[0], ignore_errors=True)
+    return _OWN_FOLDER[0]
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where that setting is absent, as in tests: a file written
-    there by one executor could not be read by another.
+    Where that setting is absent, a local session (tests, benchmarks) gets one folder of this process,
+    removed at its end. A cluster session fails instead: what one executor writes to its own disk the
+    others cannot read.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.environ.setdefault("MAILTRIAGE_SCRATCH", tempfile.mkdtemp(prefix="mailtriage-"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark.sparkContext.master)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -71,7 +71,9 @@ FEEDBACK = [
 # `attempts`: every event as one retrain attempt of a (user, model). The event id is the version:
 # it is unique and grows with time.
 ATTEMPTS = [
-    "user_id", "event_id AS version", "ts AS created_at",
+    "user_id", "event_id AS version",
+    # Some attempts are older than the corrections of their key, some newer.
+    "CASE WHEN event_id % 3 = 0 THEN ts - INTERVAL '1' DAY ELSE ts + INTERVAL '1' DAY END AS created_at",
     "CASE event_type WHEN 'purchase' THEN 'spam' WHEN 'signup' THEN 'priority' ELSE 'category' END AS model",
     "CASE WHEN cast(regexp_extract(props, '[0-9]+', 0) AS int) % 4 = 0 THEN 0 ELSE 1 END AS passed",
     "cast(cast(regexp_extract(props, '[0-9]+', 0) AS int) % 7 AS bigint) AS correction_count",
@@ -91,20 +93,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def load_text(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+def load_text(spark: SparkSession, sf_dir: str, name: str, key: str, spread: bool = False) -> DataFrame:
     """A text table for work that is heavy per row.
 
-    A scan with fewer splits than twice the cores (small or single-row-group files) is spread over
-    the cores first; Catalyst still prunes its columns. At scale the scan already has many splits and
-    nothing is shuffled.
+    With ``spread`` a scan of fewer splits than cores is dealt over the cores first, which the given
+    files of one row group need; it costs a shuffle of the text and is off unless a caller asks.
     """
     df = load(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(cores, key) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_text(spark, sf_dir, "documents", "doc_id").selectExpr(*MAIL)
+    return load_text(spark, sf_dir, "documents", "doc_id", spread=True).selectExpr(*MAIL)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
