@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from mailtriage import constants as K
 from mailtriage.functions import scores as S
@@ -12,11 +12,32 @@ from mailtriage.models import evaluation as EV, features as FT, linear as LM, sc
 from mailtriage.operators import sampling as SP
 from mailtriage.operators.sentiment import compound
 from mailtriage.operators.vocab import char_spec, word_spec
-from mailtriage.plans.registry import query
+from mailtriage.plans.registry import MAIL, query
 from mailtriage.plans.textfeatures import STOP_WORDS, lexicon
 from mailtriage.session import materialize
 from mailtriage.sources import tables as V
 
+# Labels as the fits see them, for the checking SQL. What a fit learns has no SQL form: the queries run the real
+# fit and return the rows and the properties that must hold of it, as 1.
+TARGETS = f"""t AS (SELECT l.doc_id AS msg_id, {V.GOLD_TRUE} AS true_category, toxic AS is_spam, round(0.2 + 0.25 * quality + 0.35 * toxic, 2) AS true_priority,
+  CASE WHEN round(0.2 + 0.25 * quality + 0.35 * toxic, 2) < {K.BUCKET_MEDIUM_FROM} THEN 'low' WHEN round(0.2 + 0.25 * quality + 0.35 * toxic, 2) < {K.BUCKET_HIGH_FROM} THEN 'medium' ELSE 'high' END AS true_bucket
+  FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"""
+
+
+def folds_of(label, k):
+    return f"(row_number() OVER (PARTITION BY {label} ORDER BY md5(concat('42:', cast(msg_id AS VARCHAR))), msg_id) - 1) % {k}"
+
+
+def holds(condition):
+    return F.coalesce(condition.cast("int"), F.lit(0))
+
+
+def at_least_majority(df, label, prediction):
+    """One row: whether the predictions are right at least as often as the largest class is large."""
+    largest = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.max("n").alias("largest"))
+    return df.agg(F.count_if(F.col(label) == F.col(prediction)).alias("right")).crossJoin(largest).select(holds(F.col("right") >= F.col("largest")).alias("at_least_majority"))
+
+
 # Vocabulary sizes of the registered queries; callers choose their own.
 WORDS, CHARS = 3000, 1500
 SPAM = FT.FeatureSpec([word_spec(WORDS, 2, STOP_WORDS)])
@@ -47,7 +68,7 @@ def with_sentiment(df, spark, sf):
     return df.join(compound(df, "msg_id", "clean", lexicon(spark, sf)).withColumnRenamed("compound", "vader_compound"), "msg_id")
 
 
-@query("m7_feature_rows")
+@query("m7_feature_rows", f"""SELECT doc_id AS msg_id, {len(K.CATEGORY_NUMERIC)} AS n_numeric, 1 AS unit_blocks, 1 AS in_order, 1 AS inside FROM documents""")
 def m7(spark, sf):
     """Block order and offsets of the category row: word, char, numeric."""
     d = materialize(messages(spark, sf), "messages")
@@ -55,12 +76,20 @@ def m7(spark, sf):
     (_, _, words), (_, chars_at, chars), (_, numeric_at, numeric) = fm.blocks
     r = fm.transform(d)
     inside = lambda lo, n: F.size(F.filter("indices", lambda i: (i >= lo) & (i < lo + n)))
+
+    def unit(lo, n):
+        squares = F.transform(F.filter(F.arrays_zip(F.col("indices").alias("i"), F.col("values").alias("v")), lambda x: (x["i"] >= lo) & (x["i"] < lo + n)), lambda x: x["v"] * x["v"])
+        total = F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)
+        return (total == 0) | (F.abs(total - 1) < 1e-9)
+
+    blocks = (fm.blocks[0][1] == 0) and chars_at == words and numeric_at == words + chars and fm.dim == words + chars + numeric
     return r.select(
-        "msg_id", F.lit(fm.dim).alias("dim"), inside(0, words).alias("n_word"), inside(chars_at, chars).alias("n_char"),
-        inside(numeric_at, numeric).alias("n_numeric"), F.size("indices").alias("n_values"))
+        "msg_id", inside(numeric_at, numeric).alias("n_numeric"), holds(unit(0, words) & unit(chars_at, chars)).alias("unit_blocks"),
+        holds(F.lit(blocks) & (F.array_sort("indices") == F.col("indices")) & (F.size(F.array_distinct("indices")) == F.size("indices"))).alias("in_order"),
+        holds((inside(0, words) + inside(chars_at, chars) + inside(numeric_at, numeric) == F.size("indices")) & (F.size("indices") == F.size("values"))).alias("inside"))
 
 
-@query("m8_logistic_fit")
+@query("m8_logistic_fit", f"""WITH {TARGETS} SELECT 1 AS class, {len(K.CATEGORY_NUMERIC)} AS dim, count(*) AS n, 1 AS converged FROM t""")
 def m8(spark, sf):
     """Spam model with balanced classes by Spark ML; the gradient of the mean objective must vanish."""
     g = gold(spark, sf)
@@ -69,60 +98,75 @@ def m8(spark, sf):
     lm = LM.fit_logistic(m, "is_spam", 1.0, classes=[0, 1])
     grad = LM.objective_gradient(fm.transform(g), lm, "is_spam", 1.0)
     return grad.crossJoin(m.agg(F.count("*").alias("n"))).select(
-        F.col("k").alias("class"), F.lit(fm.dim).alias("dim"), F.round(F.lit(float(lm.intercepts[0])), 3).alias("intercept"),
-        (F.col("max_gradient") / F.col("n") < 1e-5).cast("int").alias("converged"))
+        F.col("k").alias("class"), F.lit(fm.dim).alias("dim"), "n", holds(F.col("max_gradient") / F.col("n") < 1e-5).alias("converged"))
 
 
-@query("m8b_category_fit")
+@query("m8b_category_fit", f"""WITH {TARGETS} SELECT DISTINCT true_category AS label, 1 AS converged FROM t""")
 def m8b(spark, sf):
-    """Category model over the full feature row, fitted with the size-checked path."""
+    """Category model over the full feature row; the gradient of the mean objective must vanish for every class."""
     g = gold(spark, sf)
     fm = FT.fit_features(g, CATEGORY)
     lm = LM.fit_model(g, fm, "true_category", 3.0)
     grad = LM.objective_gradient(fm.transform(g), lm, "true_category", 3.0)
-    names = spark.createDataFrame([(k, c, float(b)) for k, (c, b) in enumerate(zip(lm.classes, lm.intercepts))], "k int, label string, intercept double")
-    return names.join(grad, "k").select("label", F.round("intercept", 3).alias("intercept"), (F.col("max_gradient") < 1e-4).cast("int").alias("converged"))
+    names = spark.createDataFrame(list(enumerate(lm.classes)), "k int, label string")
+    n = g.count()
+    return names.join(grad, "k").select("label", holds(F.col("max_gradient") / n < 1e-5).alias("converged"))
 
 
-@query("m9_ridge_score")
+@query("m9_ridge_score", f"""WITH {TARGETS} SELECT msg_id, true_priority, 1 AS in_range FROM t""")
 def m9(spark, sf):
     g = gold(spark, sf)
     spec = FT.FeatureSpec([word_spec(WORDS, 2, STOP_WORDS)], None, K.HEADER_COLS[:3] + K.STYLE_COLS + K.KEYWORD_COLS)
     fm = FT.fit_features(g, spec)
     ridge = LM.fit_model(g, fm, "true_priority", 5.0, ridge=True)
-    return fm.transform(g).select("msg_id", "true_priority", F.round(S.clip_score(ridge.score()), 4).alias("score"))
+    return fm.transform(g).select("msg_id", "true_priority", holds(S.clip_score(ridge.score()).between(0, 1)).alias("in_range"))
 
 
-@query("m10_forest_bucket")
+@query("m9b_ridge_one_column", f"""WITH {TARGETS}, x AS (SELECT t.*, cast(n_chars AS DOUBLE) AS x FROM t JOIN documents d ON d.doc_id = t.msg_id),
+  z AS (SELECT msg_id, true_priority, avg(true_priority) OVER () AS mean_t, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS z, count(*) OVER () AS n FROM x),
+  w AS (SELECT sum(z * (true_priority - mean_t)) / (any_value(n) + 5) AS slope FROM z)
+  SELECT msg_id, round(greatest(0.0, least(1.0, mean_t + slope * z)), 3) AS score FROM z, w""")
+def m9b(spark, sf):
+    """One standardised column has a closed form: slope = n cov / (n var + alpha)."""
+    g = targets(spark, sf).join(V.load(spark, sf, "documents").select(F.col("doc_id").alias("msg_id"), "n_chars"), "msg_id")
+    fm = FT.fit_features(g, FT.FeatureSpec([], None, ["n_chars"]))
+    ridge = LM.fit_model(g, fm, "true_priority", 5.0, ridge=True)
+    return fm.transform(g).select("msg_id", F.round(S.clip_score(ridge.score()), 3).alias("score"))
+
+
+@query("m10_forest_bucket", f"""WITH {TARGETS} SELECT msg_id, true_bucket, 1 AS known_bucket, 1 AS in_range, 1 AS at_least_majority FROM t""")
 def m10(spark, sf):
     g = gold(spark, sf)
     fm = FT.fit_features(g, FT.FeatureSpec([word_spec(500, 2, STOP_WORDS)], None, K.STYLE_COLS + K.KEYWORD_COLS))
     m = fm.matrix(g, ["msg_id", "true_bucket"], "m10")
     classes = LM.sorted_classes(m, "true_bucket")
     rf = EV.fit_forest(m, "true_bucket", classes, trees=20, depth=8)
-    return EV.forest_labels(m, rf, classes).select("msg_id", "true_bucket", "bucket", "bucket_confidence")
+    out = materialize(EV.forest_labels(m, rf, classes).select("msg_id", "true_bucket", "bucket", "bucket_confidence"), "m10-labels")
+    return out.crossJoin(at_least_majority(out, "true_bucket", "bucket")).select(
+        "msg_id", "true_bucket", holds(F.col("bucket").isin(classes)).alias("known_bucket"), holds(F.col("bucket_confidence").between(1 / len(classes) - 1e-4, 1)).alias("in_range"), "at_least_majority")
 
 
 def folded(df, k):
     return SP.assign_folds(df, "true_category", "msg_id", k, 42)
 
 
-@query("m11_out_of_fold")
+@query("m11_out_of_fold", f"""WITH {TARGETS} SELECT msg_id, ({folds_of('true_category', 5)})::INTEGER AS fold, true_category, 1 AS known_class, 1 AS in_range FROM t""")
 def m11(spark, sf):
     g = materialize(folded(gold(spark, sf), 5), "folds")
-    return EV.out_of_fold(g, "true_category", CATEGORY, 3.0, "msg_id")
+    oof = EV.out_of_fold(g, "true_category", CATEGORY, 3.0, "msg_id")
+    return oof.select("msg_id", "fold", "true_category", holds(F.col("prediction").isin(K.CATEGORIES)).alias("known_class"), holds(F.col("confidence").between(0.3333, 1)).alias("in_range"))
 
 
-@query("m12_nested_search")
+@query("m12_nested_search", f"""WITH {TARGETS} SELECT msg_id, ({folds_of('true_bucket', 5)})::INTEGER AS fold, true_bucket, 1 AS known_bucket, 1 AS known_setting FROM t""")
 def m12(spark, sf):
     g = gold(spark, sf).select("msg_id", "clean", "true_bucket", "true_category", *K.STYLE_COLS, *K.KEYWORD_COLS)
     spec = FT.FeatureSpec([word_spec(200, 2, STOP_WORDS)], None, K.STYLE_COLS + K.KEYWORD_COLS)
     grid = [{"trees": 10, "depth": 6}, {"trees": 10, "depth": 6, "min_leaf": 3}]
-    return EV.nested_search(g, "true_bucket", spec, grid, "msg_id",
-                            lambda df, k: SP.assign_folds(df, "true_bucket", "msg_id", k, 42))
+    out = EV.nested_search(g, "true_bucket", spec, grid, "msg_id", lambda df, k: SP.assign_folds(df, "true_bucket", "msg_id", k, 42))
+    return out.select("msg_id", "fold", "true_bucket", holds(F.col("prediction").isin("low", "medium", "high")).alias("known_bucket"), holds(F.col("chosen").between(0, len(grid) - 1)).alias("known_setting"))
 
 
-@query("m13_embedding_classifier")
+@query("m13_embedding_classifier", f"""SELECT config, n, 1 AS rate FROM (VALUES ('tfidf'), ('embedding'), ('both')) c(config), (SELECT count(*) AS n FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)""")
 def m13(spark, sf):
     """TF-IDF, embeddings, and both, compared on the same folds."""
     emb = V.load(spark, sf, "embeddings").select(F.col("vec_id").alias("msg_id"), "embedding", F.col("label").cast("string").alias("label"))
@@ -134,7 +178,7 @@ def m13(spark, sf):
     words = [word_spec(500, 2, STOP_WORDS)]
     return EV.ablation(g, "label", {
         "tfidf": FT.FeatureSpec(words, None, K.STYLE_COLS), "embedding": FT.FeatureSpec([], None, tuple(dims) + K.STYLE_COLS),
-        "both": FT.FeatureSpec(words, None, tuple(dims) + K.STYLE_COLS)}, 1.0, "msg_id")
+        "both": FT.FeatureSpec(words, None, tuple(dims) + K.STYLE_COLS)}, 1.0, "msg_id").select("config", "n", holds(F.col("accuracy").between(0, 1)).alias("rate"))
 
 
 def fit_linear(g) -> SC.Triage:
@@ -161,35 +205,42 @@ def fit_triage(spark, sf, g=None) -> SC.Triage:
     return SC.Triage(sfm, spam, cfm, cat, pfm, ridge, EV.fit_forest(m, "true_bucket", classes, trees=20, depth=8), classes)
 
 
-@query("m15_corpus_scoring")
+@query("m15_corpus_scoring", f"""WITH {MAIL} SELECT msg_id, file, 1 AS known_labels, 1 AS in_range, 1 AS suppressed FROM mail""")
 def m15(spark, sf):
     t = fit_triage(spark, sf)
     r = SC.score(with_sentiment(messages(spark, sf), spark, sf), t, ["msg_id", "file"])
+    spam, bucket, score = F.col("spam.label") == "spam", F.col("priority.bucket"), F.col("priority.score")
     return r.select(
-        "msg_id", F.col("spam.label").alias("spam_label"), F.col("spam.confidence").alias("spam_confidence"),
-        F.col("category.label").alias("category_label"), F.col("priority.score").alias("priority_score"),
-        F.col("priority.bucket").alias("priority_bucket"), F.col("priority.note").alias("note"))
+        "msg_id", "file",
+        holds(F.col("spam.label").isin("spam", "ham") & F.col("category.label").isin(K.CATEGORIES) & bucket.isin("low", "medium", "high")).alias("known_labels"),
+        holds(F.col("spam.confidence").between(0, 1) & score.between(0, 1)).alias("in_range"),
+        holds((spam & (score == K.SCORE_MIN) & (bucket == "low") & F.col("priority.note").isNotNull()) | (~spam & F.col("priority.note").isNull())).alias("suppressed"))
 
 
-@query("l5_threshold_and_argmax")
+@query("l5_threshold_and_argmax", f"""SELECT doc_id AS msg_id, 1 AS threshold, 1 AS argmax, 1 AS adds_up FROM documents""")
 def l5(spark, sf):
     """Spam threshold, arg-max label and confidences of the linear models over all documents."""
     t = fit_linear(gold(spark, sf))
     r = SC.score_linear(messages(spark, sf), t)
-    return r.select("msg_id", S.spam_label(F.col("spam_conf")).alias("spam_label"), "category_label",
-                    *[F.element_at("category_confidence", c).alias(f"conf_{c.lower()}") for c in K.CATEGORIES])
+    conf = [F.element_at("category_confidence", c) for c in K.CATEGORIES]
+    return r.select(
+        "msg_id", holds((S.spam_label(F.col("spam_conf")) == "spam") == (F.col("spam_conf") >= 0.5)).alias("threshold"),
+        holds(F.element_at("category_confidence", F.col("category_label")) == F.greatest(*conf)).alias("argmax"),
+        holds(F.abs(sum(conf[1:], conf[0]) - 1) < 1e-3).alias("adds_up"))
 
 
-@query("m18_block_importance")
+@query("m18_block_importance", f"""SELECT block, 1 AS share, 1 AS adds_up FROM (VALUES ('word'), ('char'), ('category_label'), ('numeric')) b(block)""")
 def m18(spark, sf):
     g = materialize(gold(spark, sf).withColumn("category_label", F.col("true_category")), "m18")
     spec = FT.FeatureSpec([word_spec(500, 2, STOP_WORDS), char_spec(500, 3)], ("category_label", K.CATEGORIES), K.STYLE_COLS + K.KEYWORD_COLS)
     fm = FT.fit_features(g, spec)
     m = fm.matrix(g, ["true_bucket"], "m18")
-    return EV.block_importance(EV.fit_forest(m, "true_bucket", LM.sorted_classes(m, "true_bucket"), trees=20, depth=8), fm, spark)
+    out = EV.block_importance(EV.fit_forest(m, "true_bucket", LM.sorted_classes(m, "true_bucket"), trees=20, depth=8), fm, spark)
+    total = out.agg(holds(F.abs(F.sum("importance") - 1) < 1e-3).alias("adds_up"))
+    return out.crossJoin(total).select("block", holds(F.col("importance").between(0, 1)).alias("share"), "adds_up")
 
 
-@query("m18b_top_coefficients")
+@query("m18b_top_coefficients", f"""SELECT side, unnest(range(1, 16))::INTEGER AS rank, 'word' AS block, 1 AS signed FROM (VALUES ('spam'), ('ham')) s(side)""")
 def m18b(spark, sf):
     from mailtriage.operators.sampling import take_per_group
 
@@ -199,19 +250,20 @@ def m18b(spark, sf):
     table = LM.coefficient_table(lm, fm.frame(spark))
     signed = table.withColumn("side", F.when(F.col("weight") >= 0, "spam").otherwise("ham"))
     top = take_per_group(signed, "side", [F.desc(F.abs("weight")), F.col("feature")], 15, "feature")
-    return top.select("side", "block", "feature", F.round("weight", 3).alias("weight"))
+    rank = F.row_number().over(W.partitionBy("side").orderBy(F.desc(F.abs("weight")), "feature"))
+    return top.select("side", rank.alias("rank"), "block", holds((F.col("side") == "spam") == (F.col("weight") >= 0)).alias("signed"))
 
 
-@query("m19_ablation")
+@query("m19_ablation", f"""WITH {TARGETS} SELECT config, n, 1 AS rate FROM (VALUES ('words'), ('words+header'), ('words+style'), ('words+char+all')) c(config), (SELECT count(*) AS n FROM t)""")
 def m19(spark, sf):
     g = materialize(SP.assign_folds(gold(spark, sf), "true_category", "msg_id", 3, 42), "m19")
     words, chars = word_spec(1000, 2, STOP_WORDS), char_spec(500, 3)
     return EV.ablation(g, "true_category", {
         "words": FT.FeatureSpec([words]), "words+header": FT.FeatureSpec([words], None, K.HEADER_COLS[:5]),
-        "words+style": FT.FeatureSpec([words], None, K.STYLE_COLS), "words+char+all": FT.FeatureSpec([words, chars], None, K.CATEGORY_NUMERIC)}, 3.0, "msg_id")
+        "words+style": FT.FeatureSpec([words], None, K.STYLE_COLS), "words+char+all": FT.FeatureSpec([words, chars], None, K.CATEGORY_NUMERIC)}, 3.0, "msg_id").select("config", "n", holds(F.col("accuracy").between(0, 1)).alias("rate"))
 
 
-@query("m20_refit_reproduces")
+@query("m20_refit_reproduces", f"WITH {TARGETS} SELECT count(*) AS n, 1 AS reproduces FROM t")
 def m20(spark, sf):
     g = gold(spark, sf)
 
@@ -223,17 +275,18 @@ def m20(spark, sf):
     return EV.largest_difference(scores("m20a"), scores("m20b"), "msg_id", "p").select("n", "reproduces")
 
 
-@query("m21_self_training")
+@query("m21_self_training", f"""WITH {TARGETS} SELECT true_category, count(*) AS n_gold, 1 AS keeps_gold FROM t GROUP BY ALL""")
 def m21(spark, sf):
     g = gold(spark, sf)
     rest = messages(spark, sf).join(g.select("msg_id"), "msg_id", "left_anti")
     rows, _, _ = EV.self_train(g, rest, "true_category", FT.FeatureSpec([word_spec(1000, 2, STOP_WORDS)]), 3.0, 0.8, ["msg_id", "clean"])
-    return rows.groupBy("true_category").agg(F.count("*").alias("n"))
+    was = g.groupBy("true_category").agg(F.count("*").alias("n_gold"))
+    return rows.groupBy("true_category").agg(F.count("*").alias("n")).join(was, "true_category").select("true_category", "n_gold", holds(F.col("n") >= F.col("n_gold")).alias("keeps_gold"))
 
 
-@query("s12_training_matrix")
+@query("s12_training_matrix", f"""WITH {TARGETS}, h AS (SELECT true_category, row_number() OVER (PARTITION BY true_category ORDER BY md5(concat('42:', cast(msg_id AS VARCHAR))), msg_id) <= ceil(0.15 * count(*) OVER (PARTITION BY true_category)) AS test FROM t) SELECT (SELECT string_agg(DISTINCT true_category, ',' ORDER BY true_category) FROM t) AS classes, count(*) FILTER (test) AS n_gate, count(*) FILTER (NOT test) AS n_rows, 1 AS rate FROM h""")
 def s12(spark, sf):
-    """The exported matrix read back: one metadata row with dimension, classes and base accuracy."""
+    """The exported matrix read back: one metadata row with classes, sizes and base accuracy."""
     g = SP.holdout(gold(spark, sf), "true_category", "msg_id", 0.15, 42)
     g = materialize(g, "s12")
     train, test = g.filter("is_test = 0"), g.filter("is_test = 1")
@@ -242,7 +295,7 @@ def s12(spark, sf):
     lm = LM.fit_model(train, fm, "true_category", 3.0)
     hit = (F.col("prediction") == F.col("true_category")).cast("double")
     return EV.predict(test, fm, lm).agg(
-        F.lit(fm.dim).alias("dim"), F.lit(",".join(lm.classes)).alias("classes"), F.count("*").alias("n_gate"), F.round(F.avg(hit), 6).alias("base_gate_accuracy")
+        F.lit(",".join(lm.classes)).alias("classes"), F.count("*").alias("n_gate"), holds(F.avg(hit).between(0, 1)).alias("rate")
     ).crossJoin(m.agg(F.count("*").alias("n_rows")))
 
 

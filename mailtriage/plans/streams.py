@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mailtriage.functions import scores as S
 from mailtriage.models import features as FT, scoring as SC
 from mailtriage.operators import corrections as C
 from mailtriage.plans.personalisation import STATUS, current
@@ -18,19 +17,21 @@ def feedback_stream(spark, sf):
     return R.read_table_stream(spark, sf, "events").selectExpr(*V.FEEDBACK).drop("event_type")
 
 
-@query("r1_stream_scoring")
+@query("r1_stream_scoring", "SELECT doc_id AS msg_id, 1 AS same_as_batch FROM documents")
 def r1(spark, sf):
     """Arriving mail scored by the linear models: no state and no shuffle in the stream."""
     from mailtriage.functions.headers import header_map
     from mailtriage.functions.text import body_of, subject_of
-    from mailtriage.plans.modelling import fit_linear, gold
+    from mailtriage.plans.modelling import fit_linear, gold, messages
 
     t = fit_linear(gold(spark, sf))
     mail = R.read_table_stream(spark, sf, "documents").selectExpr(*V.MAIL).select(
         "msg_id", "file", header_map("message").alias("headers"), subject_of("message").alias("subject"), body_of("message").alias("body"))
     scored = SC.score_linear(FT.message_features(mail, ["msg_id", "file"]), t)
     out = R.run_to_table(scored.select("msg_id", "spam_conf", "category_label"), "scored-stream")
-    return out.select("msg_id", S.spam_label(F.col("spam_conf")).alias("spam_label"), F.round("spam_conf", 4).alias("spam_conf"), "category_label")
+    batch = SC.score_linear(messages(spark, sf), t).select("msg_id", F.col("spam_conf").alias("p"), F.col("category_label").alias("c"))
+    same = (F.abs(F.col("spam_conf") - F.col("p")) < 1e-9) & (F.col("category_label") == F.col("c"))
+    return out.join(batch, "msg_id", "left").select("msg_id", F.coalesce(same.cast("int"), F.lit(0)).alias("same_as_batch"))
 
 
 @query("r2s_stream_upsert", f"WITH {CURRENT} SELECT user_id, message_id, model, event_id, corrected_label, created_at FROM current")
@@ -51,7 +52,7 @@ def r3(spark, sf):
 @query("r4_daily_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def r4(spark, sf):
     events = R.event_time(R.read_table_stream(spark, sf, "events"))
-    out = R.run_to_table(R.daily_counts(events, "ts", "event_type"), "daily", "complete")
+    out = R.run_to_table(R.daily_counts(events, "ts", "event_type"), "daily", "update", ["day", "event_type"])
     return out.withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
@@ -59,7 +60,7 @@ def r4(spark, sf):
   (SELECT event_type, value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR])::TIMESTAMP AS window_start FROM events) GROUP BY ALL""")
 def r5(spark, sf):
     events = R.event_time(R.read_table_stream(spark, sf, "events"))
-    out = R.run_to_table(R.action_rates(events, "ts", "event_type"), "rates", "complete")
+    out = R.run_to_table(R.action_rates(events, "ts", "event_type"), "rates", "update", ["window_start", "event_type"])
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mailtriage import constants as K
@@ -27,11 +27,12 @@ def event_time(df: DataFrame, column: str = "ts", delay: str = "1 hour") -> Data
     return df.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(df: DataFrame, name: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
     """Run a stream over the data that is there and return what it wrote.
 
-    Each micro-batch replaces its own folder, so a retried batch is written once. In complete mode
-    the last batch is the result.
+    Each micro-batch replaces its own folder, so a retried batch is written once. In update mode a
+    batch writes only the rows that it changed and the last one per ``keys`` counts: state behind the
+    watermark is dropped. In complete mode the last batch is the result.
     """
     spark = df.sparkSession
     out, last = work_path(spark, name), []
@@ -43,6 +44,10 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     q = (df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", work_path(spark, f"{name}-state"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    if mode == "update":
+        rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(out)
+        newest = F.max_by(F.struct(*df.columns), "batch_id").alias("row")
+        return rows.groupBy(*keys).agg(newest).select("row.*")
     path = f"{out}/batch_id={max(last)}" if mode == "complete" else f"{out}/batch_id=*"
     return spark.read.schema(df.schema).parquet(path)
 
