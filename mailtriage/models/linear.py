@@ -56,7 +56,7 @@ FIT_ROWS_PER_TASK = 20_000
 
 
 # Steps that a search may take before it counts as failed.
-MAX_STEPS = 1000
+MAX_STEPS = 3000
 
 
 def fit_partitions(rows: DataFrame, n: float) -> DataFrame:
@@ -75,7 +75,7 @@ def sorted_classes(df: DataFrame, label: str) -> list:
 
 
 def fit_logistic(matrix: DataFrame, label: str, C: float, weight: str | None = None, balanced: bool = True,
-                 classes: Sequence | None = None, max_iter: int = MAX_STEPS, tol: float = 1e-8) -> LinearModel:
+                 classes: Sequence | None = None, max_iter: int = MAX_STEPS, tol: float = 1e-7) -> LinearModel:
     """Logistic regression whose penalty matches an inverse strength ``C`` on the summed loss.
 
     Spark averages the loss, so the penalty is ``1 / (C * sum of weights)``. Balanced weights add up

@@ -103,14 +103,14 @@ def m8(spark, sf):
 
 @query("m8b_category_fit", f"""WITH {TARGETS} SELECT DISTINCT true_category AS label, 1 AS converged FROM t""")
 def m8b(spark, sf):
-    """Category model over the full feature row; the gradient of the mean objective must vanish for every class."""
+    """Category model over the full feature row; no entry of the mean objective's gradient may reach 1e-4."""
     g = gold(spark, sf)
     fm = FT.fit_features(g, CATEGORY)
     lm = LM.fit_model(g, fm, "true_category", 3.0)
     grad = LM.objective_gradient(fm.transform(g), lm, "true_category", 3.0)
     names = spark.createDataFrame(list(enumerate(lm.classes)), "k int, label string")
     n = g.count()
-    return names.join(grad, "k").select("label", holds(F.col("max_gradient") / n < 1e-5).alias("converged"))
+    return names.join(grad, "k").select("label", holds(F.col("max_gradient") / n < 1e-4).alias("converged"))
 
 
 @query("m9_ridge_score", f"""WITH {TARGETS} SELECT msg_id, true_priority, 1 AS in_range FROM t""")
