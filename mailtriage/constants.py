@@ -115,3 +115,27 @@ BOOSTERS_DOWN = ("slightly", "somewhat", "barely", "hardly", "almost", "marginal
 
 # --- class-mix recipe of the spam training set (fixed values) ---
 MIX_SPAM, MIX_HAM, MIX_OTHER_HAM = 500, 300, 700
+
+# --- shown name and form of each numeric column (fixed values) ---
+SIGNALS = {
+    "n_recipients": ("Recipients", "log count"),
+    "is_reply_or_forward": ("Reply or forward", "yes or no"),
+    "sender_automated": ("Sent from an automated address", "yes or no"),
+    "has_list_unsubscribe": ("Has an unsubscribe link", "yes or no"),
+    "has_precedence_bulk": ("Marked as bulk mail", "yes or no"),
+    "text_len_log": ("Length", "log characters"),
+    "excl_density": ("Exclamation marks", "per thousand"),
+    "caps_word_count": ("Words in capitals", "count"),
+    "informal_greeting": ("Informal greeting", "yes or no"),
+    "formal_greeting": ("Formal greeting", "yes or no"),
+    "family_words": ("Family words", "yes or no"),
+    "formal_closing": ("Formal sign-off", "yes or no"),
+    "informal_closing": ("Informal sign-off", "yes or no"),
+    "question_count": ("Question marks", "count"),
+    "spam_conf": ("Spam score", "percent"),
+    "vader_compound": ("Tone (−1 negative, 1 positive)", "two digits"),
+    "kw_high": ("Urgent words", "count"),
+    "kw_med": ("Request words", "count"),
+    "kw_low": ("For-your-information words", "count"),
+    "excl_subj": ("Exclamation marks in subject", "count"),
+}

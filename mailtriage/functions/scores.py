@@ -86,5 +86,21 @@ def unscale(value: Column, mean: Column, scale: Column) -> Column:
     return value * scale + mean
 
 
+def shown_signal(name: str, raw: Column) -> Column:
+    """``label`` and ``value`` of a numeric column as a reader sees them; an unnamed column shows two digits."""
+    label, form = K.SIGNALS.get(name, (name, "two digits"))
+    whole = lambda x: shown_count(x).cast("string")
+    value = {
+        "count": lambda: whole(raw),
+        "log count": lambda: whole(F.expm1(raw)),
+        "log characters": lambda: F.concat(whole(F.expm1(raw)), F.lit(" characters")),
+        "yes or no": lambda: F.when(raw >= 0.5, "yes").otherwise("no"),
+        "per thousand": lambda: F.format_string("%.1f per 1,000 characters", F.greatest(F.lit(0.0), raw)),
+        "percent": lambda: F.concat(whole(F.least(F.lit(1.0), raw) * 100), F.lit("%")),
+        "two digits": lambda: F.format_string("%.2f", raw),
+    }[form]()
+    return F.struct(F.lit(label).alias("label"), value.alias("value"))
+
+
 def shown_count(raw: Column) -> Column:
     return F.greatest(F.lit(0), F.round(raw).cast("int"))

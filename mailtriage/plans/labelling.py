@@ -160,6 +160,24 @@ def l14(spark, sf):
     return z.select("doc_id", S.shown_count(raw).alias("shown_length"), F.round("x", 6).alias("scaled"))
 
 
+def signal_sql(name, i):
+    raw = f"(n_chars * {i + 3} % 997 / 331.0::DOUBLE)"
+    label, form = K.SIGNALS[name]
+    count = lambda x: f"greatest(0, round({x}))::INTEGER"
+    value = {"count": f"{count(raw)}::VARCHAR", "log count": f"{count(f'exp({raw}) - 1')}::VARCHAR", "log characters": f"{count(f'exp({raw}) - 1')} || ' characters'",
+             "yes or no": f"CASE WHEN {raw} >= 0.5 THEN 'yes' ELSE 'no' END", "per thousand": f"printf('%.1f per 1,000 characters', {raw})",
+             "percent": f"{count(f'least(1.0, {raw}) * 100')} || '%'", "two digits": f"printf('%.2f', {raw})"}[form]
+    return f"SELECT doc_id, '{label}' AS label, {value} AS value FROM documents"
+
+
+@query("l14b_named_signals", " UNION ALL ".join(signal_sql(name, i) for i, name in enumerate(K.SIGNALS)))
+def l14b(spark, sf):
+    """All twenty signals of a message by name, in the form in which a reader sees them."""
+    raw = lambda i: F.col("n_chars") * (i + 3) % 997 / F.lit(331.0)
+    shown = F.explode(F.array(*[S.shown_signal(name, raw(i)) for i, name in enumerate(K.SIGNALS)]))
+    return V.load(spark, sf, "documents").select("doc_id", shown.alias("s")).select("doc_id", "s.label", "s.value")
+
+
 # --- filters -----------------------------------------------------------------------------------
 
 @query("f1_min_clean_length", f"SELECT doc_id, clean FROM (SELECT doc_id, {clean_sql('text')} AS clean FROM documents) WHERE length(clean) >= 10")
