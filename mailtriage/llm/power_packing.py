@@ -31,7 +31,7 @@ from mailtriage.session import materialize, ship
 
 WINDOW = 2048
 END_ID = 1
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 100_000
 BATCH_BYTES = 8 << 20
 
 _WHOLE = re.compile(r" \s| \Z|<\|endoftext\|>")
@@ -43,13 +43,21 @@ class ChunkIds(dict):
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         super().__init__()
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.full = Tokenizer.from_file(json_path)
+        self.json_path, self._full = json_path, None
+
+    @property
+    def full(self):
+        """The tokenizer of the file itself, loaded when a text first asks for it."""
+        if self._full is None:
+            from tokenizers import Tokenizer
+
+            self._full = Tokenizer.from_file(self.json_path)
+        return self._full
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= KEPT_CHUNKS:
