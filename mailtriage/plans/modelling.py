@@ -19,7 +19,7 @@ from mailtriage.sources import tables as V
 
 # Labels as the fits see them, for the checking SQL. What a fit learns has no SQL form: the queries run the real
 # fit and return the rows and the properties that must hold of it, as 1.
-TARGETS = f"""t AS (SELECT l.doc_id AS msg_id, {V.GOLD_TRUE} AS true_category, toxic AS is_spam, round(0.2 + 0.25 * quality + 0.35 * toxic, 2) AS true_priority,
+TARGETS = f"""t AS (SELECT l.doc_id AS msg_id, {V.GOLD_TRUE} AS true_category, toxic AS is_spam, cast(round(0.2 + 0.25 * quality + 0.35 * toxic, 2) AS DOUBLE) AS true_priority,
   CASE WHEN round(0.2 + 0.25 * quality + 0.35 * toxic, 2) < {K.BUCKET_MEDIUM_FROM} THEN 'low' WHEN round(0.2 + 0.25 * quality + 0.35 * toxic, 2) < {K.BUCKET_HIGH_FROM} THEN 'medium' ELSE 'high' END AS true_bucket
   FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"""
 
@@ -154,7 +154,7 @@ def folded(df, k):
 def m11(spark, sf):
     g = materialize(folded(gold(spark, sf), 5), "folds")
     oof = EV.out_of_fold(g, "true_category", CATEGORY, 3.0, "msg_id")
-    return oof.select("msg_id", "fold", "true_category", holds(F.col("prediction").isin(K.CATEGORIES)).alias("known_class"), holds(F.col("confidence").between(0.3333, 1)).alias("in_range"))
+    return oof.select("msg_id", "fold", "true_category", holds(F.col("prediction").isin(*K.CATEGORIES)).alias("known_class"), holds(F.col("confidence").between(0.3333, 1)).alias("in_range"))
 
 
 @query("m12_nested_search", f"""WITH {TARGETS} SELECT msg_id, ({folds_of('true_bucket', 5)})::INTEGER AS fold, true_bucket, 1 AS known_bucket, 1 AS known_setting FROM t""")
@@ -212,7 +212,7 @@ def m15(spark, sf):
     spam, bucket, score = F.col("spam.label") == "spam", F.col("priority.bucket"), F.col("priority.score")
     return r.select(
         "msg_id", "file",
-        holds(F.col("spam.label").isin("spam", "ham") & F.col("category.label").isin(K.CATEGORIES) & bucket.isin("low", "medium", "high")).alias("known_labels"),
+        holds(F.col("spam.label").isin("spam", "ham") & F.col("category.label").isin(*K.CATEGORIES) & bucket.isin("low", "medium", "high")).alias("known_labels"),
         holds(F.col("spam.confidence").between(0, 1) & score.between(0, 1)).alias("in_range"),
         holds((spam & (score == K.SCORE_MIN) & (bucket == "low") & F.col("priority.note").isNotNull()) | (~spam & F.col("priority.note").isNull())).alias("suppressed"))
 
