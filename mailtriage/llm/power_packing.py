@@ -31,7 +31,7 @@ from mailtriage.session import materialize, ship
 
 WINDOW = 2048
 END_ID = 1
-KEPT_CHUNKS = 100_000
+KEPT_CHUNKS = 200_000
 BATCH_BYTES = 8 << 20
 
 _WHOLE = re.compile(r" \s| \Z|<\|endoftext\|>")
@@ -39,7 +39,10 @@ _TOKENIZERS: dict = {}
 
 
 class ChunkIds(dict):
-    """Ids (little-endian 32-bit) of the chunks seen by this worker; emptied when it holds too many."""
+    """Ids (little-endian 32-bit) of the chunks seen by this worker.
+
+    A full one takes no more, since frequent chunks come early; it is emptied when many were not found after that.
+    """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import tiktoken
@@ -48,7 +51,7 @@ class ChunkIds(dict):
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.json_path, self._full = json_path, None
+        self.json_path, self._full, self.missed = json_path, None, 0
 
     @property
     def full(self):
@@ -61,9 +64,12 @@ class ChunkIds(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= KEPT_CHUNKS:
-            self.clear()
+            self.missed += 1
+            if self.missed > 4 * KEPT_CHUNKS:
+                self.clear()
+                self.missed = 0
         ids = np.array(self.fast.encode_ordinary(" " + chunk), "<u4").tobytes()
-        if len(chunk) <= 64:
+        if len(chunk) <= 64 and len(self) < KEPT_CHUNKS:
             self[chunk] = ids
         return ids
 
