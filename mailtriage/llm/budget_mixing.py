@@ -81,20 +81,25 @@ def mix(docs: DataFrame, domain: Column, weights: DataFrame, budget_num: int, bu
     budgets = leaf_budgets(materialize(sums, "mix-leaves"), weights, budget_num, budget_den, max_epochs)
     whole = F.when(F.col("leaf_tokens") > 0, F.expr("budget div leaf_tokens")).otherwise(0)
     budgets = budgets.select(*LEVELS, whole.alias("epochs"), (F.col("budget") - F.col("leaf_tokens") * whole).alias("rest"))
-    # Leaves are few: domains, languages and sources, never documents. Spark checks the size before it broadcasts.
-    placed = keyed.join(materialize(budgets.toDF(*leaf, "__epochs", "__rest"), "mix-budgets"), leaf)
-    placed = placed.withColumn("__key", _order(F.col("__epochs"), seed)).withColumn("__bucket", F.substring("__key", 1, BUCKET_DIGITS))
-    per_bucket = placed.groupBy(*leaf, "__bucket").agg(F.sum("__tokens").alias("__within"))
+    budgets = materialize(budgets.toDF(*leaf, "__epochs", "__rest"), "mix-budgets")
+
+    def placed(per_leaf):
+        # One row per leaf: domains, languages and sources, never documents. Spark checks the size before it broadcasts.
+        return keyed.join(per_leaf, leaf).withColumn("__key", _order(F.col("__epochs"), seed)).withColumn("__bucket", F.substring("__key", 1, BUCKET_DIGITS))
+
+    per_bucket = placed(budgets).groupBy(*leaf, "__rest", "__bucket").agg(F.sum("__tokens").alias("__within"))
     running = Window.partitionBy(*leaf).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     below = per_bucket.withColumn("__below", F.coalesce(F.sum("__within").over(running), F.lit(0)))
-    dealt = placed.join(materialize(below, "mix-buckets"), [*leaf, "__bucket"])
-    left = F.col("__rest") - F.col("__below")
-    cut = (left > 0) & (left < F.col("__within"))
-    clear = dealt.filter(~cut).withColumn("__last", F.when((F.col("__rest") > 0) & (left >= F.col("__within")), F.col("__tokens")).otherwise(0))
+    # The bucket of each leaf in which its budget ends; a leaf without a partial epoch has none.
+    end = below.filter((F.col("__rest") > F.col("__below")) & (F.col("__rest") <= F.col("__below") + F.col("__within")))
+    end = budgets.join(end.select(*leaf, F.col("__bucket").alias("__end"), "__below"), leaf, "left")
+    dealt = placed(materialize(end, "mix-ends"))
+    cut = F.coalesce(F.col("__bucket") == F.col("__end"), F.lit(False))
+    clear = dealt.filter(~cut).withColumn("__last", F.when(F.col("__bucket") < F.col("__end"), F.col("__tokens")).otherwise(0))
     # Only the one bucket per leaf in which the budget ends is ranked.
     before = Window.partitionBy(*leaf, "__bucket").orderBy("__key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     prefix = F.coalesce(F.sum("__tokens").over(before), F.lit(0))
-    ends = dealt.filter(cut).withColumn("__last", F.greatest(F.lit(0), F.least(F.col("__tokens"), left - prefix)))
+    ends = dealt.filter(cut).withColumn("__last", F.greatest(F.lit(0), F.least(F.col("__tokens"), F.col("__rest") - F.col("__below") - prefix)))
     out = clear.unionByName(ends)
     results = {"domain": F.col("__domain"), "tokens": F.col("__tokens"), "epochs": F.col("__epochs"), "last_tokens": F.col("__last"), "selected_tokens": F.col("__tokens") * F.col("__epochs") + F.col("__last")}
-    return out.withColumns(results).drop(*leaf, "__tokens", "__epochs", "__rest", "__key", "__bucket", "__within", "__below", "__last")
+    return out.withColumns(results).drop(*leaf, "__tokens", "__epochs", "__rest", "__key", "__bucket", "__end", "__below", "__last")
