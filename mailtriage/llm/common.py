@@ -46,3 +46,22 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
     if start < batch.num_rows:
         yield batch.slice(start)
 
+
+
+# Keys that a bounded broadcast filter tells apart.
+FILTER_SLOTS = 1 << 20
+
+
+def slot_of(*columns) -> Column:
+    """One of FILTER_SLOTS residues; nulls have one too."""
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_SLOTS))
+
+
+def split_by_slot(df: DataFrame, slot: Column, keys: DataFrame, key_slot: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows in no slot of ``keys``, the others): what no key can match stays where it is.
+
+    The broadcast side has at most FILTER_SLOTS rows, whatever the number of keys.
+    """
+    slots = keys.select(key_slot.alias("__slot")).distinct().withColumn("__met", F.lit(True))
+    met = df.withColumn("__slot", slot).join(F.broadcast(slots), "__slot", "left")
+    return met.filter("__met is null").drop("__slot", "__met"), met.filter("__met").drop("__slot", "__met")

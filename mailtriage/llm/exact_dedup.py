@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mailtriage.llm.common import SPACES, shuffle_partitions, text_of
+from mailtriage.llm.common import SPACES, shuffle_partitions, slot_of, split_by_slot, text_of
 from mailtriage.session import materialize, ship
 
 BLOCK_ROWS = 131_072
@@ -196,9 +196,17 @@ def exact_groups(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns as they were."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    marked = docs.withColumn("__own", F.sha2(normalised(), 256))
-    kept = marked.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    # Rows equal in id and text: one stays.
-    return kept.dropDuplicates(["doc_id", "__own"]).drop("__own")
+    """The rows of ``docs`` that stay, with their columns as they were.
+
+    Documents move only where their id shares a slot with one that has a copy.
+    """
+    copies = exact_groups(docs).filter("group_size > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept")
+    copies = materialize(copies, "dedup-copies")
+    alone, maybe = split_by_slot(docs, slot_of(F.col("doc_id").cast("bigint")), copies, slot_of("__id"))
+    # Ids may repeat: what counts is the pair of id and text. Of rows equal in both one stays.
+    pairs = copies.groupBy("__id", "__sha").agg(F.max("kept").alias("__kept"))
+    marked = maybe.withColumn("__own", F.sha2(normalised(), 256))
+    judged = marked.join(pairs, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left")
+    single = judged.filter("__kept is null").select(*docs.columns)
+    kept = judged.filter("__kept").dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+    return alone.select(*docs.columns).unionByName(single).unionByName(kept)
