@@ -82,7 +82,7 @@ def _plausible(kind: str, text: str) -> bool:
         return 14 <= len(digits) <= 19 and _luhn(digits)
     if kind == "phone":
         return 10 <= len(digits) <= 15
-    return "@" in text if kind == "email" else len(text.split(".")) == 4 and all(p.isdigit() and _octet(p) for p in text.split("."))
+    return "@" in text if kind == "email" else len(text.split(".")) == 4 and all(p.isascii() and p.isdigit() and _octet(p) for p in text.split("."))
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:

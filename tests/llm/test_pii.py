@@ -19,7 +19,7 @@ def brute(text):
 
 
 @settings(max_examples=500, deadline=None)
-@given(st.text(alphabet="a.@0125+-() \n%é", max_size=60))
+@given(st.text(alphabet="a.@0125+-() \n%é²٣", max_size=60))
 def test_base_spans_are_those_of_the_patterns(text):
     assert P.base_spans(text) == brute(text)
 
@@ -29,6 +29,15 @@ def test_known_cases():
     assert P.base_spans(text) == brute(text) and len(P.base_spans(text)) == 5
 
 
+def test_digits_of_other_scripts_are_no_octets(spark):
+    docs = spark.createDataFrame([(i, f"host 10.{i % 256}.{i % 7}.{i % 199} is up") for i in range(600)], "doc_id bigint, text string")
+    model = P.fit(docs)
+    texts = [f"host 192.168.100.{d} is up" for d in ("²", "٣", "1²", "①", "3")]
+    for text, (base, spans) in zip(texts, model.spans(texts)):
+        assert base == brute(text) and all(P._plausible(k, text[s:e]) for k, s, e in spans)
+    assert [P._plausible("ip", f"1.2.3.{d}") for d in ("²", "٣", "", "3")] == [False, False, False, True]
+
+
 def test_long_runs_take_linear_time():
     for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 100_000, "+1" * 100_000, "a@" * 100_000, "@" * 100_000):
         P.base_spans(text)
