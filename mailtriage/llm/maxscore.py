@@ -14,8 +14,9 @@ lost executor costs one block at most.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows or
 queries without id; a shorter vector counts as zero beyond its end; an empty vector scores zero. Repeated
-ids are rows of their own and never answer a query of their id. Empty input gives no rows. Other columns are
-not read.
+ids are rows of their own as candidates and never answer a query of their id; of queries with one id the smallest
+vector asks, by its components in order. What 64 bits cannot hold, components and scores, is the nearest number that
+they can, and ranks as such. Empty input gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,13 +36,16 @@ QUERY_BLOCK = 4096
 SHARD_ROWS = 4096
 PROBE_STEP = 8
 _EXACT = 1 << 53
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+# The largest double below 2^63.
+_TOP_DOUBLE = float((1 << 63) - 1024)
 
 
 def quantised(column: str = "embedding") -> Column:
     """floor(256 * x) per component; null for vectors that take no part."""
     doubles = F.transform(column, lambda x: x.cast("double"))
     bad = F.exists(doubles, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(F.col(column).isNotNull() & ~bad, F.transform(doubles, lambda x: F.floor(x * SCALE).cast("bigint")))
+    return F.when(F.col(column).isNotNull() & ~bad, F.transform(doubles, lambda x: F.floor(F.greatest(F.least(x * SCALE, F.lit(_TOP_DOUBLE)), F.lit(-_TOP_DOUBLE))).cast("bigint")))
 
 
 def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
@@ -61,6 +65,8 @@ class Shard:
         self.high, self.low = vectors.max(axis=0, initial=0), vectors.min(axis=0, initial=0)
         top = int(max(self.high.max(initial=0), -int(self.low.min(initial=0))))
         self.top, self.columns = top, np.asfortranarray(vectors, np.float64)
+        # Rows by dimension and sign, in order.
+        self.postings = {sign: [np.flatnonzero(column) for column in (vectors * sign > 0).T] for sign in (1, -1)}
 
     def search(self, query_id: int, query: np.ndarray, k: int, best: list[tuple[int, int]]) -> None:
         """Take the rows of this shard into ``best``, a heap of the k best (score, -id)."""
@@ -75,15 +81,16 @@ class Shard:
         # Terms up to ``cut`` are non-essential: together they cannot lift a row to the k-th score.
         cut = 0 if floor is None else int(np.searchsorted(reach, floor, side="left"))
         essential = order[cut:]
-        rows = np.flatnonzero(self.ids != query_id)
-        if floor is not None and cut:
-            if not len(essential):
-                return
-            # Few essential terms: only the rows in one of their postings.
-            posted = ((data[:, essential] > 0) == (query[essential] > 0)) & (data[:, essential] != 0)
-            rows = rows[posted.any(axis=1)[rows]] if len(essential) < 16 else rows
-        scores = data[:, essential] @ weights[essential]
-        scores = scores[rows]
+        if cut and not len(essential):
+            return
+        # Rows that an essential posting names; without a floor every row may enter, by losses alone as well.
+        named = np.full(len(self.ids), not cut)
+        if not named.all():
+            for term in essential.tolist():
+                named[self.postings[1 if query[term] > 0 else -1][term]] = True
+        rows = np.flatnonzero(named & (self.ids != query_id))
+        scores = (data[:, essential] if named.all() else data[np.ix_(rows, essential)]) @ weights[essential]
+        scores = scores[rows] if named.all() else scores
         while cut:
             keep = scores + reach[cut - 1] >= floor
             rows, scores = rows[keep], scores[keep]
@@ -92,6 +99,8 @@ class Shard:
             probe = order[max(0, cut - PROBE_STEP):cut]
             scores = scores + data[np.ix_(rows, probe)] @ weights[probe]
             cut = max(0, cut - PROBE_STEP)
+        if not exact:
+            scores = np.clip(scores, _LEAST, _MOST)
         if floor is not None:
             rows, scores = rows[scores >= floor], scores[scores >= floor]
         if len(rows) > k:
@@ -127,7 +136,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, query_block: int
     spark = vectors.sparkSession
     ship(spark)
     vectors = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "ints").filter("vec_id is not null and ints is not null")
-    queries = queries.select(F.col("vec_id").cast("bigint").alias("vec_id"), "ints").filter("vec_id is not null and ints is not null").dropDuplicates(["vec_id"])
+    queries = queries.select(F.col("vec_id").cast("bigint").alias("vec_id"), "ints").filter("vec_id is not null and ints is not null")
+    queries = queries.groupBy("vec_id").agg(F.min("ints").alias("ints"))
     path = work_path(spark, "maxscore")
     last, n = None, 0
     while True:

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mailtriage.llm import maxscore as M
 
@@ -11,8 +12,9 @@ NAN, INF = float("nan"), float("inf")
 def brute(rows, k=5):
     ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in dict(x for x in ok if x[0] % 50 == 0).items():
-        best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q)[:k]
+    clip = lambda x: max(-2 ** 63, min(2 ** 63 - 1, x))
+    for q, a in {i: v for i, v in sorted(ok, reverse=True) if i % 50 == 0}.items():
+        best = sorted((-clip(sum(x * y for x, y in zip(a, b))), i) for i, b in ok if i != q)[:k]
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -46,5 +48,19 @@ def test_odd_vectors(spark):
     assert run(spark, rows, shard_rows=1) == brute(rows)
 
 
+def test_repeated_query_ids_and_huge_components(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [5.0, 1.0]), (2, [1.0, 5.0]), (50, [1e16, -1e16]), (3, [1e16, 1e16]), (4, [-1e16, 1e16]), (5, [3e15, 1.0])]
+    got = run(spark, rows)
+    assert got == brute(rows) and {q for q, *_ in got} == {0, 50}
+    assert run(spark, rows, shard_rows=1) == brute(rows)
+    assert len(run(spark, [(0, [1e300, 1.0]), (1, [1e300, -1e300]), (2, [-1e300])])) == 2
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [3.0])], "vec_id bigint, embedding array<double>").select(
+        "vec_id", M.quantised().alias("ints"), *[F.lit("own").alias(c) for c in ("query_id", "rank", "score", "block")])
+    assert [(r.query_id, r.vec_id) for r in M.top_k(df, df.filter("vec_id = 0")).orderBy("rank").collect()] == [(0, 2), (0, 1)]
+
+
 def test_empty(spark):
     assert run(spark, []) == [] and run(spark, [(0, [1.0])]) == [] and run(spark, [(1, [1.0])]) == []
