@@ -3,9 +3,11 @@
 1. A text is cut into sentences, once at every line end and once across line ends (for licence texts that
    are wrapped), and each sentence is normalised: ASCII lower case, everything but letters and digits
    one space.
-2. Known licence sentences become identifiers; other sentences are dropped from the sequence.
-3. Ordered rules, longest first, are sequences of identifiers. A rule takes its occurrences out of the
-   sequence before shorter rules see it, so a clause that belongs to a whole licence is not reported alone.
+2. Known licence sentences become identifiers. Up to GAP other sentences in a row are passed over; more of them
+   leave a mark that no rule holds, so sentences far apart never make a licence.
+3. Ordered rules, longest first, are sequences of identifiers. A rule replaces its occurrences by that mark
+   before shorter rules see the sequence: a clause that belongs to a whole licence is not reported alone, and what
+   stood left and right of it does not become neighbours.
 
 Everything happens inside the row: no shuffle, no join. The sentence table is a constant of the plan.
 
@@ -183,6 +185,11 @@ BY_LINE = r"[.;:!?]+(?:[ \t\r\n]|\z)|[\r\n]"
 ACROSS = r"[.;:!?]+(?:[ \t\r\n]|\z)|\n[ \t\r*#/%-]*\n"
 NOT_WORD = "[^a-z0-9|]+"
 
+# Unknown sentences that may stand between two sentences of one rule, and the mark of more of them or of a rule's place.
+GAP = 8
+MARK = "#"
+LONG_GAP = f"[.]{{{GAP + 1},}}"
+
 
 def _codes() -> dict[str, str]:
     return {name: f"<{i}>" for i, name in enumerate(SENTENCES)}
@@ -194,7 +201,9 @@ def sequence_of(text: Column, ends: str) -> Column:
     table = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, codes[name])])
     marked = F.regexp_replace(F.lower(F.translate(text, "|", " ")), ends, "|")
     sentences = F.split(F.regexp_replace(marked, NOT_WORD, " "), " *[|] *")
-    return F.array_join(F.transform(sentences, lambda s: F.try_element_at(table, F.trim(s))), "")
+    other = lambda s: F.when(F.trim(s) == "", "").otherwise(".")
+    sequence = F.array_join(F.transform(sentences, lambda s: F.coalesce(F.try_element_at(table, F.trim(s)), other(s))), "")
+    return F.replace(F.regexp_replace(sequence, LONG_GAP, MARK), F.lit("."), F.lit(""))
 
 
 def with_licences(docs: DataFrame) -> DataFrame:
@@ -208,13 +217,13 @@ def with_licences(docs: DataFrame) -> DataFrame:
 
     def step(state, pattern):
         n = F.greatest(count(state["line"], pattern), count(state["wrapped"], pattern))
-        return F.struct(F.replace(state["line"], pattern, F.lit("")).alias("line"), F.replace(state["wrapped"], pattern, F.lit("")).alias("wrapped"), F.concat(state["n"], F.array(n)).alias("n"))
+        return F.struct(F.replace(state["line"], pattern, F.lit(MARK)).alias("line"), F.replace(state["wrapped"], pattern, F.lit(MARK)).alias("wrapped"), F.concat(state["n"], F.array(n)).alias("n"))
 
     literals = lambda values: F.array(*[F.lit(x) for x in values])
     first = F.struct(F.col("__r0.line").alias("line"), F.col("__r0.wrapped").alias("wrapped"), F.array().cast("array<int>").alias("n"))
     out = docs.withColumn("__r0", F.struct(sequence_of(text_of(), BY_LINE).alias("line"), sequence_of(text_of(), ACROSS).alias("wrapped")))
     # Each rule takes its occurrences out of the sequence that the next rule sees. Rules of one sentence come last and take nothing from one another.
-    some = (F.col("__r0.line") != "") | (F.col("__r0.wrapped") != "")
+    some = F.contains("__r0.line", F.lit("<")) | F.contains("__r0.wrapped", F.lit("<"))
     out = out.withColumn("__r1", F.when(some, F.aggregate(literals(patterns[:several]), first, step)))
     alone = F.transform(literals(patterns[several:]), lambda p: F.greatest(count(F.col("__r1.line"), p), count(F.col("__r1.wrapped"), p)))
     out = out.withColumn("__n", F.when(some, F.concat("__r1.n", alone)).otherwise(F.array().cast("array<int>")))
@@ -222,5 +231,5 @@ def with_licences(docs: DataFrame) -> DataFrame:
     hits = F.filter(F.transform("__n", lambda n, i: F.struct(n.alias("n"), F.get(table[0], i).alias("licence"), F.get(table[1], i).alias("rule"))), lambda h: h["n"] > 0)
     out = out.withColumn("__hits", hits)
     rules = F.transform("__hits", lambda h: F.concat(h["rule"], F.lit("*"), h["n"].cast("string")))
-    known = F.length(F.regexp_replace("__r0.line", "[0-9>]", ""))
+    known = F.length(F.regexp_replace("__r0.line", f"[0-9>{MARK}]", ""))
     return out.withColumns({"licences": F.array_distinct(F.transform("__hits", lambda h: h["licence"])), "rules": rules, "sentence_count": known}).drop("__r0", "__r1", "__n", "__hits")

@@ -108,13 +108,14 @@ def _licence_sql() -> str:
     def sequence(ends):
         marked = f"regexp_replace(lower(replace(coalesce(text, ''), '|', ' ')), '{ends}', '|', 'g')"
         sentences = f"string_split_regex(regexp_replace({marked}, '{licence_rules.NOT_WORD}', ' ', 'g'), ' *[|] *')"
-        return f"coalesce(array_to_string(list_transform({sentences}, lambda s: element_at(MAP {{{table}}}, trim(s))[1]), ''), '')"
+        codes_of = f"array_to_string(list_transform({sentences}, lambda s: coalesce(element_at(MAP {{{table}}}, trim(s))[1], CASE WHEN trim(s) = '' THEN '' ELSE '.' END)), '')"
+        return f"replace(regexp_replace(coalesce({codes_of}, ''), '{licence_rules.LONG_GAP}', '{licence_rules.MARK}', 'g'), '.', '')"
 
     out = f"WITH r0 AS (SELECT doc_id, {sequence(licence_rules.BY_LINE)} AS line, {sequence(licence_rules.ACROSS)} AS wrapped FROM documents), q0 AS (SELECT *, line AS l0, wrapped AS w0 FROM r0)"
     for i, (_, _, rule) in enumerate(licence_rules.RULES):
         pattern = "".join(codes[s] for s in rule)
         n = [f"(length({c}{i}) - length(replace({c}{i}, '{pattern}', ''))) // {len(pattern)}" for c in "lw"]
-        out += f", q{i + 1} AS (SELECT *, replace(l{i}, '{pattern}', '') AS l{i + 1}, replace(w{i}, '{pattern}', '') AS w{i + 1}, greatest({n[0]}, {n[1]}) AS n{i + 1} FROM q{i})"
+        out += f", q{i + 1} AS (SELECT *, replace(l{i}, '{pattern}', '{licence_rules.MARK}') AS l{i + 1}, replace(w{i}, '{pattern}', '{licence_rules.MARK}') AS w{i + 1}, greatest({n[0]}, {n[1]}) AS n{i + 1} FROM q{i})"
     licences = ", ".join(f"CASE WHEN n{i + 1} > 0 THEN '{x[0]}' END" for i, x in enumerate(licence_rules.RULES))
     rules = ", ".join(f"CASE WHEN n{i + 1} > 0 THEN concat('{x[1]}*', n{i + 1}) END" for i, x in enumerate(licence_rules.RULES))
     first = "list_filter(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN c[i] IS NOT NULL AND NOT list_contains(c[1:i - 1], c[i]) THEN c[i] END), lambda x: x IS NOT NULL)"

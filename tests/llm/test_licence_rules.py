@@ -44,6 +44,17 @@ def test_order_of_sentences_matters(spark):
     assert got[0][0] == ["bsd-2-clause"] and got[1][0] == []
 
 
+def test_what_stands_around_a_rule_does_not_meet(spark):
+    assert found(spark, "Apache License.\n" + MIT + "\nVersion 2.0, January 2004.\n")[0] == (["mit"], ["mit-text*1"])
+    assert found(spark, "Apache License.\nVersion 2.0, January 2004.\n" + MIT)[0][0] == ["mit", "apache-2.0"]
+
+
+def test_sentences_far_apart_are_no_licence(spark):
+    title, date = "GNU General Public License.", "Version 3, 29 June 2007."
+    texts = [title + " Word." * n + " " + date for n in (0, L.GAP, L.GAP + 1, 5000)] + [f"{title}\n\n\n\n\n\n\n\n\n\n\n\n{date}"]
+    assert [x[0] for x in found(spark, *texts)] == [["gpl-3.0"], ["gpl-3.0"], [], [], ["gpl-3.0"]]
+
+
 def test_odd_rows(odd, none):
     got = L.with_licences(odd).collect()
     assert len(got) == len(ODD) and all(r.licences == [] and r.sentence_count == 0 for r in got)
