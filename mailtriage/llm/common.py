@@ -65,3 +65,11 @@ def split_by_slot(df: DataFrame, slot: Column, keys: DataFrame, key_slot: Column
     slots = keys.select(key_slot.alias("__slot")).distinct().withColumn("__met", F.lit(True))
     met = df.withColumn("__slot", slot).join(F.broadcast(slots), "__slot", "left")
     return met.filter("__met is null").drop("__slot", "__met"), met.filter("__met").drop("__slot", "__met")
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a materialized table whose followers are written: nothing reads it again."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
