@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,6 +68,20 @@ def split_by_slot(df: DataFrame, slot: Column, keys: DataFrame, key_slot: Column
     return met.filter("__met is null").drop("__slot", "__met"), met.filter("__met").drop("__slot", "__met")
 
 
+def released(run):
+    """``run``, after whose last batch a worker gives its free memory back: it may stay idle beside the JVM for a minute."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            # Another C library keeps what it keeps.
+            pass
+
+    return wrapped
+
+
 def discard(df: DataFrame) -> None:
     """Remove a materialized table whose followers are written: nothing reads it again."""
     spark = df.sparkSession
