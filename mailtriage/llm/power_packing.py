@@ -11,8 +11,8 @@ each on its own. Empty input gives no rows. Other columns of the input are not r
 Tokens. Ids are those of the ``tokenizers`` file. The same vocabulary as ranks gives the same ids about six
 times faster for one chunk, and chunks (a space and what follows up to the next) recur, so each worker
 keeps the ids of chunks it has seen. Cutting there is exact because the splitting pattern always starts a
-token at a space that is followed by something else than white space. Texts with a space before other white
-space, or with a special token written out, are encoded whole by ``tokenizers``.
+token at a space that is followed by something else than white space. Segments of a text with a space before other
+white space, or with a special token written out, are encoded by ``tokenizers``.
 """
 
 from __future__ import annotations
@@ -33,11 +33,24 @@ WINDOW = 2048
 END_ID = 1
 KEPT_CHUNKS = 200_000
 BATCH_BYTES = 8 << 20
+# Characters that are encoded at a time: an encoding of the tokenizers file takes some hundred bytes a character.
+SEGMENT_CHARS = 1 << 16
 
+# A space between a letter, digit or stop and a letter or digit: a token always starts there.
+_CUT = re.compile(r"(?<=[0-9A-Za-z.,]) (?=[0-9A-Za-z])")
 _WHOLE = re.compile(r" \s| \Z|<\|endoftext\|>")
 _TOKENIZERS: dict = {}
 
 
+def segments(text: str, size: int = SEGMENT_CHARS) -> Iterator[str]:
+    """The text cut after about ``size`` characters each, only where a token starts."""
+    start = 0
+    while len(text) - start > size and (cut := _CUT.search(text, start + size)):
+        yield text[start:cut.start()]
+        start = cut.start()
+    yield text[start:]
+
+
 class ChunkIds(dict):
     """Ids (little-endian 32-bit) of the chunks seen by this worker.
 
@@ -74,6 +87,9 @@ class ChunkIds(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        return b"".join(map(self._encode, segments(text)))
+
+    def _encode(self, text: str) -> bytes:
         if _WHOLE.search(text):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         head, *rest = text.split(" ")

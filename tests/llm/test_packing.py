@@ -26,6 +26,16 @@ def test_chunks_give_the_ids_of_the_whole(text):
     assert own.encode(text) == np.array(want.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "a", "b1", "3", ".", ",", "'", "\n", "é", "<|endoftext|>", " a b", "1 2. c"]), max_size=60), st.integers(1, 9))
+def test_segments_give_the_ids_of_the_whole(parts, size):
+    text = "".join(parts)
+    cut = list(P.segments(text, size))
+    assert "".join(cut) == text
+    own, want = P.tokenizer(*FILES), _full()
+    assert b"".join(map(own._encode, cut)) == np.array(want.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def _full(held=[]):
     if not held:
         held.append(Tokenizer.from_file(FILES[0]))
