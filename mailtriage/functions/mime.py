@@ -2,31 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from mailtriage.functions.text import strip, text_or_empty
 
-HEADERS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))
-BODY = T.StructType([T.StructField("data", T.StringType())])
-
-
-def part_schema(depth: int) -> T.StructType:
-    """A MIME part nested ``depth`` levels; deeper parts stay as unparsed JSON in ``parts``."""
-    inner = T.StringType() if depth == 0 else T.ArrayType(part_schema(depth - 1))
-    return T.StructType([
-        T.StructField("mimeType", T.StringType()),
-        T.StructField("body", BODY),
-        T.StructField("parts", inner),
-    ])
-
-
-def message_schema(depth: int = 5) -> T.StructType:
-    payload = T.StructType([T.StructField("headers", HEADERS)] + part_schema(depth).fields)
-    return T.StructType([
-        T.StructField("id", T.StringType()),
-        T.StructField("labelIds", T.ArrayType(T.StringType())),
-        T.StructField("payload", payload),
-    ])
+HEADERS = "array<struct<name:string,value:string>>"
 
 
 def decode_base64url(c: Column) -> Column:
@@ -42,31 +22,37 @@ def html_to_text(c) -> Column:
     return strip(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
-def flatten_parts(part: Column, depth: int = 5) -> Column:
-    """All parts of the tree in document order, as ``(mimeType, data)``."""
-    own = F.array(F.struct(part["mimeType"].alias("mimeType"), part["body"]["data"].alias("data")))
-    if depth == 0:
-        return own
-    children = F.transform(
-        F.coalesce(part["parts"], F.array().cast(T.ArrayType(part_schema(depth - 1)))),
-        lambda p: flatten_parts(p, depth - 1),
-    )
-    return F.concat(own, F.flatten(children))
+def _part(path: Column, part: Column) -> Column:
+    return F.struct(path.cast("array<int>").alias("path"), part.alias("part"))
 
 
-def deep_parts(part: Column, depth: int = 5) -> Column:
-    """Number of parts nested below the parsed depth; such messages go to a review table."""
-    if depth == 0:
-        return F.when(part["parts"].isNotNull(), 1).otherwise(0)
-    counts = F.transform(F.coalesce(part["parts"], F.array().cast(T.ArrayType(part_schema(depth - 1)))),
-                         lambda p: deep_parts(p, depth - 1))
-    return F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+def _found(p: Column) -> Column:
+    return F.struct(p["path"].alias("path"), F.try_variant_get(p["part"], "$.mimeType", "string").alias("mimeType"), F.try_variant_get(p["part"], "$.body.data", "string").alias("data"))
 
 
-def select_bodies(payload: Column, depth: int = 5) -> tuple[Column, Column]:
-    """Text for classification and HTML for display: first plain part with data, else stripped HTML."""
-    parts = flatten_parts(payload, depth)
+def flatten_parts(payload: Column, raw: Column) -> Column:
+    """All parts of the tree of a payload (``variant``) in document order, as ``(path, mimeType, data)``, at any depth.
+
+    The tree is taken apart level by level: the parts of a level are listed and their children are the next. It
+    ends where no part is left; no tree is deeper than its JSON text has opening brackets. In the order of their
+    paths parts stand as in the document.
+    """
+    none = F.array().cast("array<struct<path:array<int>,mimeType:string,data:string>>")
+    levels = F.sequence(F.lit(0), F.length(raw) - F.length(F.replace(raw, F.lit("["), F.lit(""))))
 
+    def children(p):
+        parts = F.coalesce(F.try_variant_get(p["part"], "$.parts", "array<variant>"), F.array().cast("array<variant>"))
+        return F.transform(parts, lambda c, i: _part(F.concat(p["path"], F.array(i)), c))
+
+    def step(s, _):
+        return F.struct(F.concat(s["found"], F.transform(s["open"], _found)).alias("found"), F.flatten(F.transform(s["open"], children)).alias("open"))
+
+    first = F.struct(none.alias("found"), F.array(_part(F.array(), payload)).alias("open"))
+    return F.array_sort(F.aggregate(levels, first, step)["found"])
+
+
+def select_bodies(parts: Column) -> tuple[Column, Column]:
+    """Text for classification and HTML for display: first plain part with data, else stripped HTML."""
     def first(kind):
         hits = F.filter(parts, lambda p: (p["mimeType"] == kind) & (F.coalesce(p["data"], F.lit("")) != ""))
         return decode_base64url(F.get(hits, F.lit(0))["data"])

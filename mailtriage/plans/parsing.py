@@ -189,7 +189,8 @@ def p20(spark, sf):
 def provider_messages(spark, sf):
     """Documents as exported provider messages: one JSON string each, with a nested MIME tree.
 
-    Every third has only HTML, deep inside the tree; the others have a plain part beside it.
+    Every third has only HTML, deep inside the tree; the others have a plain part beside it. In every seventh
+    all of that lies seven levels further down, as in a message forwarded again and again.
     """
     d = V.load_text(spark, sf, "documents", "doc_id", spread=True)
     html = F.concat(F.lit("<p>"), F.replace(F.col("text"), F.lit("<"), F.lit("")), F.lit("&nbsp;<b>end</b></p>"))
@@ -200,6 +201,10 @@ def provider_messages(spark, sf):
     html_only = F.to_json(F.array(F.struct(
         F.lit("multipart/related").alias("mimeType"), F.array(part("text/html", html)).alias("parts"))))
     both = F.to_json(F.array(part("text/plain", F.col("text")), part("text/html", html)))
+    parts = F.when(F.col("doc_id") % 3 == 0, html_only).otherwise(both)
+    forwarded = parts
+    for _ in range(7):
+        forwarded = F.concat(F.lit('[{"mimeType":"message/rfc822","parts":'), forwarded, F.lit("}]"))
     header_list = F.to_json(F.array(
         F.struct(F.lit("From").alias("name"), F.concat(F.lit('"Sender '), F.col("source"), F.lit('" <'), F.col("source"),
                                                        F.lit("@example.com>")).alias("value")),
@@ -212,7 +217,7 @@ def provider_messages(spark, sf):
         F.lit('{"id":"'), F.col("doc_id").cast("string"), F.lit('","labelIds":['),
         F.when(F.col("doc_id") % 2 == 0, F.lit('"INBOX","UNREAD"')).otherwise(F.lit('"INBOX"')),
         F.lit('],"payload":{"mimeType":"multipart/mixed","headers":'), header_list, F.lit(',"parts":'),
-        F.when(F.col("doc_id") % 3 == 0, html_only).otherwise(both), F.lit("}}"),
+        F.when(F.col("doc_id") % 7 == 0, forwarded).otherwise(parts), F.lit("}}"),
     ).alias("raw"))
 
 
@@ -221,14 +226,14 @@ def provider_messages(spark, sf):
   make_timestamp(2024, 3, 1 + doc_id % 28, 7, 5, 0) AS sent_at, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS unread,
   0 AS list_unsubscribe, CASE WHEN doc_id % 3 = 0 THEN
     {HTML_SQL.format("'<p>' || replace(text, '<', '') || '&nbsp;<b>end</b></p>'")} ELSE text END AS body,
-  '<p>' || replace(text, '<', '') || '&nbsp;<b>end</b></p>' AS body_html, 0 AS deep_parts FROM documents""")
+  '<p>' || replace(text, '<', '') || '&nbsp;<b>end</b></p>' AS body_html FROM documents""")
 def s7(spark, sf):
     from mailtriage.sources.readers import parse_provider_messages
 
     m = parse_provider_messages(provider_messages(spark, sf), "raw")
     return m.select(
         "id", "subject", "from_name", "from_addr", "to_addr", "sent_at", F.col("unread").cast("int").alias("unread"),
-        F.col("list_unsubscribe").cast("int").alias("list_unsubscribe"), "body", "body_html", "deep_parts",
+        F.col("list_unsubscribe").cast("int").alias("list_unsubscribe"), "body", "body_html",
     )
 
 

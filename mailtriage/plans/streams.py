@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from mailtriage.models import features as FT, scoring as SC
 from mailtriage.operators import corrections as C
 from mailtriage.plans.personalisation import STATUS, current
-from mailtriage.plans.registry import CURRENT, query
+from mailtriage.plans.registry import ATTEMPTS, CURRENT, query
 from mailtriage.session import work_path
 from mailtriage.sources import tables as V
-from mailtriage.streaming import streams as R
+from mailtriage.sources.sinks import read_version, write_version
+from mailtriage.streaming import claims, streams as R
 
 
 def feedback_stream(spark, sf):
@@ -77,9 +78,13 @@ def r6(spark, sf):
 
 @query("r6s_stream_sessions", SESSIONS)
 def r6s(spark, sf):
-    events = R.event_time(R.read_table_stream(spark, sf, "events"))
-    out = R.run_to_table(R.sessions(events, "user_id", "ts"), "sessions", "complete")
-    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+    """Append mode: a session comes out when the watermark passes its end, and leaves the state."""
+    events, path = R.read_table_stream(spark, sf, "events"), work_path(spark, "end-mark")
+    V.load(spark, sf, "events").agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts")).write.parquet(path)
+    marked = R.with_end(events, "ts", spark.readStream.schema("ts timestamp_ntz").parquet(path))
+    with claims.rocksdb(spark):
+        out = R.run_to_table(R.sessions(R.event_time(marked), "user_id", "ts"), "sessions")
+    return out.filter("user_id IS NOT NULL").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
 @query("r7_duplicate_delivery", "SELECT event_id, user_id, event_type FROM events")
@@ -94,5 +99,23 @@ def r7(spark, sf):
   LEFT JOIN act2 a ON a.user_id = f.user_id AND a.model = f.model
   LEFT JOIN current c ON c.user_id = f.user_id AND c.message_id = f.message_id AND c.model = f.model""")
 def r8(spark, sf):
-    out = R.apply_active(feedback_stream(spark, sf), C.active_versions(V.attempts(spark, sf)), current(spark, sf))
-    return R.run_to_table(out.select("event_id", "user_id", "model", "active_version", "shown_label"), "shown")
+    """Active versions and corrections are tables of versions that every micro-batch reads anew."""
+    root, kept = work_path(spark, "active-versions"), work_path(spark, "current-corrections")
+    write_version(C.active_versions(V.attempts(spark, sf)), root)
+    write_version(current(spark, sf), kept)
+
+    def step(batch, _):
+        shown = R.apply_active(batch, read_version(spark, root), read_version(spark, kept))
+        return shown.select("event_id", "user_id", "model", "active_version", "shown_label")
+
+    return R.run_batches(feedback_stream(spark, sf), "shown", step)
+
+
+@query("r3c_open_claims", f"""WITH {CURRENT}, {ATTEMPTS}, n AS (SELECT user_id, model, count(*) AS correction_count FROM current GROUP BY ALL),
+  l AS (SELECT user_id, model, correction_count AS tried FROM attempts QUALIFY row_number() OVER (PARTITION BY user_id, model ORDER BY version DESC) = 1)
+  SELECT n.user_id, n.model, n.correction_count FROM n LEFT JOIN l ON l.user_id = n.user_id AND l.model = n.model WHERE n.correction_count - coalesce(tried, 0) >= 5""")
+def r3c(spark, sf):
+    """One open claim per key, counted from the last attempt."""
+    attempts = R.read_table_stream(spark, sf, "events").selectExpr(*V.ATTEMPTS)
+    with claims.rocksdb(spark, idle_batches=False):
+        return R.run_to_table(claims.retrain_claims(feedback_stream(spark, sf), attempts), "claims")

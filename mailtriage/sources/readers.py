@@ -64,13 +64,16 @@ def labelled_text(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return rows.select(*keep, F.col(text).alias("text"), binary_label(F.col(label), dict(df.dtypes)[label]).alias("label"))
 
 
-def parse_provider_messages(df: DataFrame, raw: str, depth: int = 5) -> DataFrame:
-    """Exported provider messages (one JSON string a row) as mailbox rows."""
-    m = df.select(F.from_json(raw, M.message_schema(depth)).alias("m")).select("m.*")
-    text, html = M.select_bodies(F.col("payload"), depth)
-    hs = F.col("payload.headers")
+def parse_provider_messages(df: DataFrame, raw: str) -> DataFrame:
+    """Exported provider messages (one JSON string a row) as mailbox rows; a text that is no JSON gives nulls and no body."""
+    v, get = F.try_parse_json(raw), F.try_variant_get
+    m = df.select(F.col(raw).alias("raw"), v.alias("v")).select(
+        get("v", "$.id", "string").alias("id"), get("v", "$.labelIds", "array<string>").alias("labelIds"),
+        get("v", "$.payload.headers", M.HEADERS).alias("headers"), M.flatten_parts(get("v", "$.payload", "variant"), F.col("raw")).alias("parts"))
+    text, html = M.select_bodies(F.col("parts"))
+    hs = F.col("headers")
     fields = m.select(
-        "id", "labelIds", text.alias("body"), html.alias("body_html"), M.deep_parts(F.col("payload"), depth).alias("deep_parts"),
+        "id", "labelIds", text.alias("body"), html.alias("body_html"),
         *[M.named_header(hs, n).alias(a) for n, a in (
             ("Subject", "subject"), ("To", "to_addr"), ("Cc", "cc_addr"), ("From", "h_from"), ("Date", "h_date"),
             ("List-Unsubscribe", "h_unsub"), ("Precedence", "h_precedence"))],
@@ -80,5 +83,5 @@ def parse_provider_messages(df: DataFrame, raw: str, depth: int = 5) -> DataFram
         "id", "subject", "body", "body_html", "to_addr", F.nullif(F.col("cc_addr"), F.lit("")).alias("cc_addr"),
         name.alias("from_name"), address.alias("from_addr"), (F.col("h_unsub") != "").alias("list_unsubscribe"),
         F.nullif(F.col("h_precedence"), F.lit("")).alias("precedence"), H.local_datetime("h_date").alias("sent_at"),
-        F.coalesce(F.array_contains("labelIds", "UNREAD"), F.lit(False)).alias("unread"), "deep_parts",
+        F.coalesce(F.array_contains("labelIds", "UNREAD"), F.lit(False)).alias("unread"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from mailtriage.functions.text import content_key, snippet
@@ -15,22 +16,50 @@ def append_predictions(df: DataFrame, path: str, run_id: str) -> None:
         .partitionBy("run_id").parquet(path)
 
 
-def write_version(df: DataFrame, root: str) -> str:
-    """Write a table as a new version and point the ``_current`` marker at it.
+def versions(spark: SparkSession, root: str) -> DataFrame:
+    """``number, folder`` of the versions of a table that are complete.
 
-    A table cannot be overwritten while it is read, and a failed overwrite would lose it; a new
-    folder plus a small marker does neither.
+    A manifest is one small file that its commit renames into place: it is there whole or not at all.
     """
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(f"{root}/{version}")
-    spark = df.sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{root}/_current")
-    return f"{root}/{version}"
+    line = F.split("value", " ")
+    return spark.read.text(f"{root}/_manifests/*").select(F.get(line, F.lit(0)).cast("long").alias("number"), F.get(line, F.lit(1)).alias("folder"))
+
+
+def _last_number(spark: SparkSession, root: str) -> int:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_manifests")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # Folders of writers that are still at work count, so that no number is given twice.
+    return max((int(x.getPath().getName()) for x in fs.listStatus(path)), default=0) if fs.exists(path) else 0
 
 
-def read_version(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.text(f"{root}/_current").first()[0]
-    return spark.read.parquet(f"{root}/{version}")
+def write_version(df: DataFrame, root: str) -> str:
+    """Write a table as a new version: its rows to a new folder, then a manifest of the next number.
+
+    Nothing is overwritten or deleted. Readers take the newest complete manifest, those at an older
+    version keep it, and a writer that fails leaves none. Of two writers at one number the second
+    finds the folder and takes the next.
+    """
+    version, spark = f"v-{uuid.uuid4().hex}", df.sparkSession
+    df.write.mode("errorifexists").parquet(f"{root}/{version}")
+    number = _last_number(spark, root) + 1
+    while True:
+        line = spark.range(1).select(F.concat(F.lit(f"{number} {version}")).alias("value")).coalesce(1)
+        try:
+            line.write.mode("errorifexists").text(f"{root}/_manifests/{number:012d}")
+            return f"{root}/{version}"
+        except AnalysisException as e:
+            if "PATH_ALREADY_EXISTS" not in str(e):
+                raise
+            number += 1
+
+
+def read_version(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
+    """The newest version, or the one of a number."""
+    found = versions(spark, root)
+    row = found.filter(F.lit(number is None) | (F.col("number") == F.lit(number))).orderBy(F.desc("number")).first()
+    if row is None:
+        raise ValueError(f"no version {number} of {root}")
+    return spark.read.parquet(f"{root}/{row.folder}")
 
 
 def labelling_sheet(df: DataFrame, start: int, end: int, key: str = "msg_id") -> DataFrame:

@@ -52,6 +52,27 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", keys: Sequence[
     return spark.read.schema(df.schema).parquet(path)
 
 
+def run_batches(df: DataFrame, name: str, step: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """Run a stream and return what ``step`` makes of its micro-batches.
+
+    Tables that ``step`` reads are read anew for each batch, so a version promoted between two batches shows in
+    the second; a retried batch replaces its own folder.
+    """
+    spark, out = df.sparkSession, work_path(df.sparkSession, name)
+    q = (df.writeStream.foreachBatch(lambda batch, i: step(batch, i).write.mode("overwrite").parquet(f"{out}/batch_id={i}"))
+         .option("checkpointLocation", work_path(spark, f"{name}-state")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
+
+
+def with_end(events: DataFrame, time: str, end: DataFrame) -> DataFrame:
+    """``events`` and a stream of end marks: rows whose only value is a time after all events that will come.
+
+    The watermark follows an end mark, so append mode gives out everything before it and drops the state.
+    """
+    return events.unionByName(end.select(F.col(time).cast(events.schema[time].dataType).alias(time)), allowMissingColumns=True)
+
+
 # --- corrections as a table of deltas ----------------------------------------------------------
 
 def correction_sink(root: str) -> Callable[[DataFrame, int], None]:

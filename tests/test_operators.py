@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -214,5 +215,36 @@ def test_sentiment_modifiers(spark):
     assert got[3] == got[4] == 0.0
 
 
+def test_sentiment_in_the_row_equals_the_join(spark):
+    words = ["good", "bad", "fine", "not", "very", "hardly", "plain", "never", "so"]
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for i in range(200)] + [(200, None)], "id long, clean string")
+    lex = spark.createDataFrame([("good", 2.0), ("bad", -2.5), ("fine", 0.8), ("fine", 0.1), ("absent", 1.0)], "term string, valence double")
+    inside, joined = compound(df, "id", "clean", lex, bound=100), compound(df, "id", "clean", lex, bound=3)
+    plan = inside._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Exchange" in joined._jdf.queryExecution().executedPlan().toString()
+    a, b = ({r.id: r.compound for r in x.collect()} for x in (inside, joined))
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-12 for i in a) and len(set(a.values())) > 20
+    assert {r.compound for r in compound(df, "id", "clean", lex.limit(0), bound=9).collect()} == {0.0}
+
+
+def test_versions_stay_for_their_readers(spark):
+    from mailtriage.session import work_path
+    from mailtriage.sources import sinks as S
+
+    root = work_path(spark, "versions-test")
+    with pytest.raises(Exception):
+        S.read_version(spark, root)
+    S.write_version(spark.range(3), root)
+    reader = S.read_version(spark, root)
+    # A writer that stopped before its manifest, one that stopped inside it, and one that ended.
+    spark.range(9).write.parquet(f"{root}/v-lost")
+    spark.range(1).selectExpr("'2 v-lost' AS value").write.text(f"{root}/_manifests/000000000002/_temporary/0")
+    assert S.read_version(spark, root).count() == 3
+    S.write_version(spark.range(5), root)
+    assert S.read_version(spark, root).count() == 5 and reader.count() == 3 and S.read_version(spark, root, 1).count() == 3
+    assert sorted(r.number for r in S.versions(spark, root).collect()) == [1, 3]
+
+
 def test_fixed_values():
     assert len(K.HEADER_COLS) == 9 and len(K.STYLE_COLS) == 9 and len(K.KEYWORD_COLS) == 4

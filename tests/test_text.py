@@ -99,7 +99,24 @@ def test_html_and_bodies(spark):
         ({"mimeType": "multipart/mixed", "parts": [{"mimeType": "multipart/related", "parts": [part("text/html", "<h1>Far</h1>")]}]}, "Far", "<h1>Far</h1>"),
         ({"mimeType": "text/plain"}, "", None),
     ]
-    df = spark.createDataFrame([(json.dumps(p),) for p, _, _ in cases], "raw string").select(F.from_json("raw", M.part_schema(5)).alias("p"))
+    # Seven levels and two hundred; document order decides, not the level: the part of the first branch comes first.
+    deep = part("text/plain", "deep")
+    for _ in range(200):
+        deep = {"mimeType": "message/rfc822", "parts": [deep]}
+    seven = part("text/html", "<b>seven</b>")
+    for _ in range(7):
+        seven = {"mimeType": "message/rfc822", "parts": [{"mimeType": "image/png", "body": {"data": "x"}}, seven]}
+    cases += [(deep, "deep", None), (seven, "seven", "<b>seven</b>"), ({"mimeType": "m", "parts": [deep, part("text/plain", "near")]}, "deep", None),
+              ({"mimeType": "m", "parts": [part("text/plain", ""), part("text/plain", "near"), deep]}, "near", None), ({"mimeType": "m", "parts": "no list", "body": 3}, "", None)]
+    df = spark.createDataFrame([(json.dumps(p),) for p, _, _ in cases], "raw string").withColumn("p", M.flatten_parts(F.parse_json("raw"), F.col("raw")))
     text, html = M.select_bodies(F.col("p"))
     got = [(r.t, r.h) for r in df.select(text.alias("t"), html.alias("h")).collect()]
     assert got == [(t, h) for _, t, h in cases]
+
+
+def test_provider_messages_that_are_odd(spark):
+    from mailtriage.sources.readers import parse_provider_messages
+
+    raw = ['{"id":"1","payload":{"headers":[{"name":"subject","value":"Hi"}],"mimeType":"text/plain","body":{"data":"d29yZHM"}}}', "no json", None, "{}", '{"id":2,"labelIds":["UNREAD"],"payload":[]}']
+    got = parse_provider_messages(spark.createDataFrame([(r,) for r in raw], "raw string"), "raw").collect()
+    assert [(r.id, r.subject, r.body, r.unread) for r in got] == [("1", "Hi", "words", False), (None, "", "", False), (None, "", "", False), (None, "", "", False), ("2", "", "", True)]
