@@ -96,7 +96,7 @@ class TextModel:
         if self._counter is None:
             self._counter = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_grams", outputCol="_tf")
         idf = constant_array(self.idf)
-        counted = self._counter.transform(df.withColumn("_grams", self.spec.grams(F.col(clean)))).drop("_grams")
+        counted = self._counter.transform(df.withColumn("_grams", self.spec.grams(F.coalesce(F.col(clean), F.lit(""))))).drop("_grams")
         counted = counted.withColumn("_tf", F.unwrap_udt("_tf"))
 
         def normalised(w):
