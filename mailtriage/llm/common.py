@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from mailtriage.session import materialize
+
 # ASCII white space and its complement, as the operators' contracts state them.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,6 +70,22 @@ def split_by_slot(df: DataFrame, slot: Column, keys: DataFrame, key_slot: Column
     return met.filter("__met is null").drop("__slot", "__met"), met.filter("__met").drop("__slot", "__met")
 
 
+# Rows of text that go to a Python worker at a time: a batch is held on both sides, and the JVM doubles its buffers to fill it.
+TEXT_ROWS = 1_000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize_texts(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` for a step that sends texts to Python workers: in smaller batches than the session's."""
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH_ROWS)
+    conf.set(_BATCH_ROWS, str(min(TEXT_ROWS, int(before)) if int(before) > 0 else TEXT_ROWS))
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(_BATCH_ROWS, before)
+
+
 def released(run):
     """``run``, after whose last batch a worker gives its free memory back: it may stay idle beside the JVM for a minute."""
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

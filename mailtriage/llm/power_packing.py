@@ -26,8 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from mailtriage.llm.common import pieces, text_of
-from mailtriage.session import materialize, ship
+from mailtriage.llm.common import materialize_texts, pieces, released, text_of
+from mailtriage.session import ship
 
 WINDOW = 2048
 END_ID = 1
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, window: int = WINDOW,
     ship(docs.sparkSession)
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, task int, nth bigint" + ", ids binary" * with_ids
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    cut = materialize(texts.mapInArrow(_cut(json_path, ranks_path, window, with_ids), schema), "packed-pieces")
+    cut = materialize_texts(texts.mapInArrow(released(_cut(json_path, ranks_path, window, with_ids)), schema), "packed-pieces")
     # One row per task and bucket.
     counts = cut.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy(F.desc("length"), "task").rowsBetween(Window.unboundedPreceding, -1))
