@@ -28,6 +28,7 @@ def clean_text(c, strip_routing: bool = False) -> Column:
     one pass and not one per character.
     """
     out = F.lower(text_or_empty(c))
+    # Patterns and words that the published models were fitted with.
     out = F.regexp_replace(out, r"(?U)http\S+|www\.\S+", " url ")
     out = F.regexp_replace(out, r"(?U)(?<!\S)\S+@\S+", " email ")
     out = F.regexp_replace(out, r"(?U)\b\d[\d\s\-().]{6,}\d\b", " phone ")

@@ -1,6 +1,6 @@
 """A small dense-free optimiser for fits that are bounded and run inside one task.
 
-Used for one user's refit and for folds of a gold set. Larger sets go to Spark ML (``linear``).
+Used for one user's refit. Larger sets go to Spark ML (``linear``).
 """
 
 from __future__ import annotations

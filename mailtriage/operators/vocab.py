@@ -64,6 +64,38 @@ def vocabulary(terms: DataFrame, n_docs: DataFrame, spec: GramSpec) -> DataFrame
     )
 
 
+# Buckets of the bounding counts, and one term in so many that is counted first.
+BOUND_BUCKETS, TERM_SHARE = 1 << 20, 64
+
+
+def pruned_terms(df: DataFrame, clean: str, spec: GramSpec, buckets: int = BOUND_BUCKETS, share: int = TERM_SHARE) -> tuple[DataFrame, bool]:
+    """``term, tf, df`` of every term that can be in the vocabulary, and whether rare terms were left out before the exchange.
+
+    1. One term in ``share``, by hash, is counted: that suggests how often the last term of the vocabulary occurs.
+    2. Occurrences are summed per hash bucket, by two hashes: at most ``buckets`` rows a task, however many terms there are.
+       A term occurs at most as often as any of its buckets, so a bucket below the suggestion holds none that is needed.
+    3. Terms of the other buckets are counted exactly. If at least ``max_features`` of them reach the suggestion, no term left
+       out can be in the vocabulary; else the suggestion was too high and all terms are counted.
+    """
+    from mailtriage.session import materialize
+
+    counted = df.select(F.explode(term_counts(spec.grams(F.col(clean)))).alias("g")).select("g.term", "g.tf")
+    exact = lambda rows: rows.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    few = exact(counted.filter(F.pmod(F.xxhash64("term"), F.lit(share)) == 0)).filter(F.col("df") >= spec.min_df)
+    place = max(1, spec.max_features // share)
+    last = few.orderBy(F.desc("tf")).limit(place).agg(F.count("*").alias("n"), F.min("tf").alias("tf")).first()
+    if last.n < place or last.tf <= spec.min_df:
+        return exact(counted), False
+    hashes = [F.pmod(F.xxhash64("term", F.lit(k)), F.lit(buckets)).cast("int") for k in (1, 2)]
+    rows = counted
+    for k, h in enumerate(hashes):
+        sums = counted.groupBy(h.alias(f"b{k}")).agg(F.sum("tf").alias("n")).filter(F.col("n") >= last.tf).select(f"b{k}")
+        rows = rows.withColumn(f"b{k}", h).join(F.broadcast(materialize(sums, f"term-buckets-{k}")), f"b{k}", "left_semi").drop(f"b{k}")
+    found = materialize(exact(rows), "terms")
+    enough = found.filter((F.col("df") >= spec.min_df) & (F.col("tf") >= last.tf)).limit(spec.max_features).count() >= spec.max_features
+    return (found, True) if enough else (exact(counted), False)
+
+
 def constant_array(values: Sequence[float]) -> Column:
     """A bounded list of numbers as one constant of the plan: no join, and no copy per row."""
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")

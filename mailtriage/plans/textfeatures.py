@@ -68,6 +68,15 @@ def m3b(spark, sf):
     return vocabulary(spark, sf, CHAR).withColumns({"idf": F.round("idf", 6), "tf": F.col("tf").cast("long")})
 
 
+@query("m3c_pruned_vocabulary", f"WITH {CHAR_VOCAB} SELECT term, idx, tf, df, round(idf, 6) AS idf FROM vocab")
+def m3c(spark, sf):
+    """The same character vocabulary, with terms that cannot be in it left out before the exchange."""
+    d = cleaned(spark, sf)
+    terms, _ = VO.pruned_terms(d, "clean", CHAR)
+    out = VO.vocabulary(terms, d.agg(F.count("*").alias("n_docs")), CHAR)
+    return out.withColumns({"idf": F.round("idf", 6), "tf": F.col("tf").cast("long")})
+
+
 def tfidf_sql(vocab, source):
     return f"""{vocab}, w AS (SELECT g.doc_id, v.term, v.idx, (1 + ln(g.tf)) * v.idf AS w FROM
     (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(grams) AS term FROM {source}) GROUP BY ALL) g JOIN vocab v ON v.term = g.term),

@@ -246,5 +246,22 @@ def test_versions_stay_for_their_readers(spark):
     assert sorted(r.number for r in S.versions(spark, root).collect()) == [1, 3]
 
 
+def test_pruned_terms_give_the_same_vocabulary(spark):
+    rng = random.Random(6)
+    # Frequent words and many that occur once or twice.
+    texts = [" ".join(rng.choice(["red", "green", "blue", "grey"]) if rng.random() < 0.5 else f"x{rng.randrange(4000)}".translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(60)) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "clean string").repartition(4)
+    n = df.agg(F.count("*").alias("n_docs"))
+    whole = VO.term_table(df, "clean", VO.word_spec(8))
+    for k, share, pruned in ((8, 2, True), (3_000, 2, None), (8, 64, None), (10 ** 6, 4, False)):
+        spec = VO.word_spec(k)
+        terms, left_out = VO.pruned_terms(df, "clean", spec, buckets=1 << 14, share=share)
+        assert pruned is None or left_out == pruned
+        rows = lambda t: [tuple(r) for r in VO.vocabulary(t, n, spec).orderBy("idx").collect()]
+        assert rows(terms) == rows(whole)
+        if left_out:
+            assert terms.count() < whole.count() / 10
+
+
 def test_fixed_values():
     assert len(K.HEADER_COLS) == 9 and len(K.STYLE_COLS) == 9 and len(K.KEYWORD_COLS) == 4
