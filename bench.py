@@ -17,10 +17,10 @@ HEADLINE = [
     "s7_p21_p22_provider_ingest", "m3_word_vocabulary", "m3b_char_vocabulary", "m4_tfidf_word", "l11_sentiment",
     "w1_stratified_sample", "w6b_dedup_by_clean_text", "w11_stratified_folds", "w14_half_split", "j12_label_noise",
     "a5_class_report", "a11_confidence_distribution", "a12_gate_sweep", "a13_pair_frequency", "a19_feature_class_means",
-    "a15_corrections_until_retrain", "a24_status_summary", "r2_correction_upsert", "r6_sessions", "l5_threshold_and_argmax", "m10_forest_bucket", "m16_x4_user_refits",
+    "a15_corrections_until_retrain", "a24_status_summary", "r2_correction_upsert", "r6_sessions", "l5_threshold_and_argmax", "m10_forest_bucket",
 ]
 # Costly fits run once: no warm-up.
-ONCE = {"l5_threshold_and_argmax", "m10_forest_bucket", "m16_x4_user_refits"}
+ONCE = {"l5_threshold_and_argmax", "m10_forest_bucket"}
 
 
 def main() -> None:
