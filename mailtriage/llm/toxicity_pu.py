@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mailtriage.llm.common import residue, text_of
+from mailtriage.llm.common import materialize_texts, residue, text_of
 from mailtriage.session import materialize, ship
 
 MAX_POSITIVES = 6_000
@@ -156,5 +156,6 @@ def with_scores(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with their columns as they were."""
-    marked = with_scores(docs.withColumnRenamed("score", "__score"), fit(docs, labels)).filter(F.col("score") < threshold).drop("score")
-    return marked.withColumnRenamed("__score", "score")
+    scored = with_scores(docs.withColumnRenamed("score", "__score"), fit(docs, labels)).filter(F.col("score") < threshold).drop("score")
+    # Written here, so that texts are scored in small batches.
+    return materialize_texts(scored.withColumnRenamed("__score", "score"), "not-toxic")
