@@ -90,16 +90,21 @@ def released(run):
     """``run``, after whose last batch a worker gives its free memory back: it may stay idle beside the JVM for a minute."""
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            # Another C library keeps what it keeps.
-            pass
+        give_back()
 
     return wrapped
 
 
+def give_back() -> None:
+    """Free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        # Another C library keeps what it keeps.
+        pass
+
+
 def discard(df: DataFrame) -> None:
     """Remove a materialized table whose followers are written: nothing reads it again."""
     spark = df.sparkSession

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import re
+import threading
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from mailtriage.llm.common import materialize_texts, pieces, released, text_of
+from mailtriage.llm.common import give_back, materialize_texts, pieces, released, text_of
 from mailtriage.session import ship
 
 WINDOW = 2048
@@ -40,6 +41,9 @@ SEGMENT_CHARS = 1 << 16
 _CUT = re.compile(r"(?<=[0-9A-Za-z.,]) (?=[0-9A-Za-z])")
 _WHOLE = re.compile(r" \s| \Z|<\|endoftext\|>")
 _TOKENIZERS: dict = {}
+# Seconds after which a worker without a packing task gives its tokenizer back: workers are reused by the stages that follow.
+IDLE_SECONDS = 10.0
+_LAST_TASK = [0]
 
 
 def segments(text: str, size: int = SEGMENT_CHARS) -> Iterator[str]:
@@ -98,15 +102,31 @@ class ChunkIds(dict):
 
 
 def tokenizer(json_path: str, ranks_path: str) -> ChunkIds:
-    """One per Python worker, kept between tasks."""
+    """One per Python worker, kept between tasks that follow each other."""
     import public_tokenizers
 
+    _LAST_TASK[0] += 1
     key = (json_path, ranks_path)
     if key not in _TOKENIZERS:
         _TOKENIZERS[key] = ChunkIds(json_path, ranks_path, public_tokenizers.PATTERN)
     return _TOKENIZERS[key]
 
 
+def rest(seconds: float = IDLE_SECONDS) -> threading.Timer:
+    """Give the worker's tokenizers and their chunks back after ``seconds``, unless another task takes them before."""
+    last = _LAST_TASK[0]
+
+    def drop():
+        if _LAST_TASK[0] == last:
+            _TOKENIZERS.clear()
+            give_back()
+
+    timer = threading.Timer(seconds, drop)
+    timer.daemon = True
+    timer.start()
+    return timer
+
+
 def piece_lengths(tokens: int, window: int = WINDOW) -> list[int]:
     full, rest = divmod(tokens, window)
     return [window] * full + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
@@ -133,6 +153,8 @@ def _cut(json_path: str, ranks_path: str, window: int, with_ids: bool):
                         start += length
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names)
+        del encode
+        rest()
 
     return run
 

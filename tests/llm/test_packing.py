@@ -80,3 +80,14 @@ def test_strange_texts(full):
     own = P.tokenizer(*FILES)
     for text in STRANGE:
         assert own.encode(text) == np.array(full.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def test_an_idle_worker_gives_its_tokenizer_back():
+    P.tokenizer(*FILES).encode("some words of a text")
+    first = P.rest(0.05)
+    P.tokenizer(*FILES)
+    first.join(5)
+    assert P._TOKENIZERS, "a task that came in between keeps it"
+    P.rest(0.05).join(5)
+    assert not P._TOKENIZERS
+    assert P.tokenizer(*FILES).encode("some words") == np.array(_full().encode("some words", add_special_tokens=False).ids, "<u4").tobytes()
