@@ -70,20 +70,24 @@ def split_by_slot(df: DataFrame, slot: Column, keys: DataFrame, key_slot: Column
     return met.filter("__met is null").drop("__slot", "__met"), met.filter("__met").drop("__slot", "__met")
 
 
-# Rows of text that go to a Python worker at a time: a batch is held on both sides, and the JVM doubles its buffers to fill it.
-TEXT_ROWS = 1_000
+# Rows and bytes of text that go to a Python worker at a time: a batch is held on both sides, and the JVM doubles its buffers
+# to fill it. A longer text is a batch of its own.
+TEXT_ROWS, TEXT_BYTES = 1_000, 8 << 20
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def materialize_texts(df: DataFrame, name: str) -> DataFrame:
     """``materialize`` for a step that sends texts to Python workers: in smaller batches than the session's."""
     conf = df.sparkSession.conf
-    before = conf.get(_BATCH_ROWS)
-    conf.set(_BATCH_ROWS, str(min(TEXT_ROWS, int(before)) if int(before) > 0 else TEXT_ROWS))
+    rows, size = int(conf.get(_BATCH_ROWS)), conf.get(_BATCH_BYTES)
+    conf.set(_BATCH_ROWS, str(min(TEXT_ROWS, rows) if rows > 0 else TEXT_ROWS))
+    conf.set(_BATCH_BYTES, str(TEXT_BYTES))
     try:
         return materialize(df, name)
     finally:
-        conf.set(_BATCH_ROWS, before)
+        conf.set(_BATCH_ROWS, str(rows))
+        conf.set(_BATCH_BYTES, size)
 
 
 def released(run):
