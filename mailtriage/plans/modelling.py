@@ -229,6 +229,33 @@ def l5(spark, sf):
         holds(F.abs(sum(conf[1:], conf[0]) - 1) < 1e-3).alias("adds_up"))
 
 
+# A given model over three standardised columns, so that SQL has the scores too: weights per class, then the intercept.
+GIVEN_COLUMNS = {"n_chars": "coalesce(n_chars, 0)", "n_spaces": "length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', ''))", "n_e": "length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', ''))"}
+GIVEN_SPAM = ((0.8, -1.1, 0.4, -0.2),)
+GIVEN_CATEGORY = ((0.5, -0.3, 0.9, 0.1), (-0.7, 0.6, 0.2, 0.05), (0.2, -0.3, -1.1, -0.15))
+
+
+def _margin_sql(row):
+    return " + ".join([repr(row[-1]), *[f"{w!r} * z{i}" for i, w in enumerate(row[:-1])]])
+
+
+@query("l5b_given_coefficients", f"""WITH x AS (SELECT doc_id AS msg_id, {", ".join(f"cast({e} AS DOUBLE) AS x{i}" for i, e in enumerate(GIVEN_COLUMNS.values()))} FROM documents),
+  s AS (SELECT {", ".join(f"avg(x{i}) AS m{i}, coalesce(nullif(stddev_pop(x{i}), 0), 1) AS d{i}" for i in range(len(GIVEN_COLUMNS)))} FROM x),
+  z AS (SELECT msg_id, {", ".join(f"(x{i} - m{i}) / d{i} AS z{i}" for i in range(len(GIVEN_COLUMNS)))} FROM x, s),
+  e AS (SELECT msg_id, 1 / (1 + exp(-({_margin_sql(GIVEN_SPAM[0])}))) AS spam, {", ".join(f"exp({_margin_sql(row)}) AS e{k}" for k, row in enumerate(GIVEN_CATEGORY))} FROM z)
+  SELECT msg_id, CASE WHEN spam >= {K.SPAM_THRESHOLD} THEN 'spam' ELSE 'ham' END AS spam_label, round(spam, 4) AS spam_conf,
+    CASE greatest(e0, e1, e2) WHEN e0 THEN '{K.CATEGORIES[0]}' WHEN e1 THEN '{K.CATEGORIES[1]}' ELSE '{K.CATEGORIES[2]}' END AS category_label,
+    {", ".join(f"round(e{k} / (e0 + e1 + e2), 4) AS {c.lower()}" for k, c in enumerate(K.CATEGORIES))} FROM e""")
+def l5b(spark, sf):
+    """Threshold, arg-max label and confidences of given coefficients over all documents, by the scoring path of the fitted ones."""
+    docs = V.load(spark, sf, "documents").select(F.col("doc_id").alias("msg_id"), *[F.expr(e).alias(c) for c, e in GIVEN_COLUMNS.items()])
+    fm = FT.fit_features(docs, FT.FeatureSpec([], None, list(GIVEN_COLUMNS)))
+    spam, category = (LM.LinearModel(list(classes), [row[:-1] for row in rows], [row[-1] for row in rows]) for classes, rows in (((0, 1), GIVEN_SPAM), (K.CATEGORIES, GIVEN_CATEGORY)))
+    r = SC.score_linear(docs, SC.Triage(fm, spam, fm, category, None, None, None, ()))
+    return r.select("msg_id", S.spam_label(F.col("spam_conf")).alias("spam_label"), F.round("spam_conf", 4).alias("spam_conf"), "category_label",
+                    *[F.element_at("category_confidence", c).alias(c.lower()) for c in K.CATEGORIES])
+
+
 @query("m18_block_importance", f"""SELECT block, 1 AS share, 1 AS adds_up FROM (VALUES ('word'), ('char'), ('category_label'), ('numeric')) b(block)""")
 def m18(spark, sf):
     g = materialize(gold(spark, sf).withColumn("category_label", F.col("true_category")), "m18")
