@@ -14,12 +14,13 @@ from mailtriage.session import work_path
 
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """One table as a stream of files, with the schema of the stored table."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """One table, a file or a folder of files, as a stream of files with the schema of the stored table."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(sf_dir)
+    # A file source takes a folder or a pattern, but no single file: the pattern stands for this one name.
+    return reader.parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def event_time(df: DataFrame, column: str = "ts", delay: str = "1 hour") -> DataFrame:

@@ -188,3 +188,12 @@ def test_append_sessions_with_late_rows_and_dropped_state(spark):
     marked = R.with_end(spark.readStream.schema("user_id long, ts timestamp").parquet(root), "ts", spark.readStream.schema("ts timestamp").parquet(end))
     got = R.run_to_table(R.sessions(R.event_time(marked), "user_id", "ts"), "sessions-closed").filter("user_id IS NOT NULL")
     assert rows(got) == rows(plain)
+
+
+def test_a_table_stream_reads_a_file_or_a_folder(spark, sf):
+    stored = spark.read.parquet(f"{sf}/events.parquet")
+    folder = work_path(spark, "tables")
+    stored.repartition(3).write.parquet(f"{folder}/events.parquet")
+    for root in (sf, folder):
+        got = R.run_to_table(R.read_table_stream(spark, root, "events"), "events-read")
+        assert got.count() == stored.count() and got.exceptAll(stored).isEmpty()
