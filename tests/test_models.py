@@ -115,3 +115,20 @@ def test_sweep_reports_each_weight(spark, rows):
     split = corr.withColumn("half", (F.col("event_id") % 2).cast("int"))
     got = P.weight_sweep(split, base, gate, {"category": "cat"}, 4).collect()
     assert [r.weight for r in got] == [1.0, 3.0, 10.0, 30.0] and {(r.n_train, r.n_test) for r in got} == {(6, 6)}
+
+
+def test_a_fit_of_thousands_of_rows_runs_in_several_tasks(spark):
+    rows = spark.range(20_000, numPartitions=64)
+    cores = spark.sparkContext.defaultParallelism
+    parts = lambda n: LM.fit_partitions(rows, n).rdd.getNumPartitions()
+    assert parts(500) == 1 and parts(4_000) == min(4, cores) and parts(10 ** 9) == cores
+
+
+def test_gold_parses_labelled_messages_only(spark, sf):
+    from mailtriage.plans import modelling as M
+
+    wanted = M.targets(spark, sf).select("msg_id")
+    some = wanted.orderBy("msg_id").limit(7)
+    got = M.messages(spark, sf, some)
+    whole = M.messages(spark, sf).join(some, "msg_id", "left_semi")
+    assert got.count() == 7 and got.exceptAll(whole).isEmpty()
