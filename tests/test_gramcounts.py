@@ -66,3 +66,19 @@ def test_known_terms_of_an_empty_batch():
     for spec in SPECS:
         out = G.counts_function(spec, ["abc"], np.ones(1))(pa.array([], pa.string()))
         assert len(out) == 0
+
+
+def test_threads_ship_the_package_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from mailtriage.session import ship
+
+    sc, was = spark.sparkContext, getattr(spark.sparkContext, "_mailtriage_shipped", False)
+    sent = []
+    sc._mailtriage_shipped = False
+    try:
+        with mock.patch.object(type(sc), "addPyFile", lambda self, path: sent.append(path)), ThreadPoolExecutor(4) as pool:
+            list(pool.map(lambda _: ship(spark), range(8)))
+        assert len(sent) == 1
+    finally:
+        sc._mailtriage_shipped = was
