@@ -132,3 +132,16 @@ def test_gold_parses_labelled_messages_only(spark, sf):
     got = M.messages(spark, sf, some)
     whole = M.messages(spark, sf).join(some, "msg_id", "left_semi")
     assert got.count() == 7 and got.exceptAll(whole).isEmpty()
+
+
+def test_majority_of_a_balanced_fit(spark):
+    from mailtriage.plans.modelling import at_least_majority
+
+    def verdict(rows):
+        return at_least_majority(spark.createDataFrame(rows, "label string, got string"), "label", "got").first()[0]
+
+    # Five of eight and two of two: 7 rows of 10, under the 8 of the largest class, but 0.81 of the balanced weight.
+    assert verdict([("a", "a")] * 5 + [("a", "b")] * 3 + [("b", "b")] * 2) == 1
+    # Seven of eight and none of two.
+    assert verdict([("a", "a")] * 7 + [("a", "b")] + [("b", "a")] * 2) == 0
+    assert verdict([("a", "a")] * 8 + [("b", "a")] * 2) == 1
