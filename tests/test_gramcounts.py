@@ -82,3 +82,32 @@ def test_threads_ship_the_package_once(spark):
         assert len(sent) == 1
     finally:
         sc._mailtriage_shipped = was
+
+
+@pytest.mark.parametrize("spec", SPECS)
+def test_task_sends_a_term_once(spec):
+    """Over several batches a task sums each term; before, every batch sent its own row."""
+    batches = [pa.RecordBatch.from_arrays([pa.array([k % 2 for k in range(4)]), pa.array([*texts()[4 * i:4 * i + 3], None], pa.string())], ["g", "clean"]) for i in range(15)]
+    per_group = {0: [], 1: []}
+    for b in batches:
+        for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            per_group[g] += [] if t is None else [t]
+    rows = [r for b in G.term_rows(spec, ["g"], "clean")(iter(batches)) for r in b.to_pylist()]
+    assert len({(r["g"], r["term"]) for r in rows}) == len(rows)
+    for g, seen in per_group.items():
+        assert {r["term"]: r["tf"] for r in rows if r["g"] == g} == sum((Counter(grams(t, spec)) for t in seen), Counter())
+        assert {r["term"]: r["df"] for r in rows if r["g"] == g} == sum((Counter(set(grams(t, spec))) for t in seen), Counter())
+    with mock.patch.object(G, "HELD_TERMS", 8):
+        parts = [r for b in G.term_rows(spec, [], "clean")(iter(b.select(["clean"]) for b in batches)) for r in b.to_pylist()]
+    tf = Counter()
+    for r in parts:
+        tf[r["term"]] += r["tf"]
+    assert tf == sum((Counter(grams(t, spec)) for seen in per_group.values() for t in seen), Counter())
+
+
+def test_long_character_grams():
+    """Numbers of grams this long leave no room for the row beside them."""
+    spec = VO.GramSpec("char", 3, 12, 1, 9, "char_wb")
+    got = {t: (int(n), int(d)) for term, tf, df in G.counted_terms(texts(), spec) for t, n, d in zip(term.to_pylist(), tf, df)}
+    assert {t: n for t, (n, _) in got.items()} == sum((Counter(grams(t, spec)) for t in texts()), Counter())
+    assert {t: d for t, (_, d) in got.items()} == sum((Counter(set(grams(t, spec))) for t in texts()), Counter())
