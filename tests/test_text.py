@@ -120,3 +120,18 @@ def test_provider_messages_that_are_odd(spark):
     raw = ['{"id":"1","payload":{"headers":[{"name":"subject","value":"Hi"}],"mimeType":"text/plain","body":{"data":"d29yZHM"}}}', "no json", None, "{}", '{"id":2,"labelIds":["UNREAD"],"payload":[]}']
     got = parse_provider_messages(spark.createDataFrame([(r,) for r in raw], "raw string"), "raw").collect()
     assert [(r.id, r.subject, r.body, r.unread) for r in got] == [("1", "Hi", "words", False), (None, "", "", False), (None, "", "", False), (None, "", "", False), ("2", "", "", True)]
+
+
+def test_texts_of_usable_length_are_cleaned_once(spark, sf):
+    """A filter on the cleaned text was moved below the projection, which cleaned every text twice."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["f1_min_clean_length"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z]+") == 1
+
+
+def test_known_grams_are_looked_up_once(spark, sf):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["m4b_tfidf_char_norms"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
