@@ -91,3 +91,45 @@ def test_small_blocks_and_large_texts(spark, sf, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = sorted(r.doc_id for r in C.near_duplicates(spark, docs, sf).collect())
     assert got == brute_kept(rows) and 9_000 in got and 9_001 not in got and 9_003 not in got
+
+
+def test_simhash_joins_near_copies_first(spark, sf, monkeypatch):
+    """The fingerprints' pairs are looked for and compared before any other; before, the stage used no SimHash."""
+    seen = []
+    linked = J._linked
+
+    def told(pairs, texts, nodes, name):
+        out = linked(pairs, texts, nodes, name)
+        seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(J, "_linked", told)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(9000)}" for _ in range(3000)]
+    rows = list(enumerate(" ".join(base[:k] + ["x"] + base[k:]) for k in range(0, 3000, 300)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert [r.doc_id for r in C.near_duplicates(spark, docs, sf).collect()] == [0] == brute_kept(rows)
+    assert seen[0][0] == "simhash" and seen[0][1] > 0
+
+
+def test_no_join_makes_pairs_of_a_large_group(spark, sf, monkeypatch):
+    """Many texts at common shingles, none near: blocks inside tasks compare them, and few pairs come out."""
+    made = []
+    monkeypatch.setattr(J, "BLOCK_NODES", 16)
+    linked = J._linked
+    monkeypatch.setattr(J, "_linked", lambda pairs, *rest: made.append(pairs.count()) or linked(pairs, *rest))
+    rng = random.Random(9)
+    passages = [" ".join(f"p{k}w{i}" for i in range(9)) for k in range(40)]
+    rows = list(enumerate("\n".join(rng.sample(passages, 8)) for _ in range(300)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert sorted(r.doc_id for r in C.near_duplicates(spark, docs, sf).collect()) == brute_kept(rows)
+    assert sum(made) < 10 * len(rows)
+
+
+def test_sketches_leave_out_no_near_pair():
+    sets = [J.shingles_of(t.encode()) for _, t in edited(6)]
+    assert any(J.sketch_of(x) != J.sketch_of(y) for x in sets for y in sets)
+    for x in sets:
+        for y in sets:
+            apart = sum((a ^ b).bit_count() for a, b in zip(J.sketch_of(x), J.sketch_of(y)))
+            assert apart <= len(x) + len(y) - 2 * len(set(x.tolist()) & set(y.tolist()))
