@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from mailtriage.llm import bk_simhash, exact_dedup
 from mailtriage.llm.bk_simhash import components
 from mailtriage.llm.common import discard, materialize_texts, pieces, released, shuffle_partitions, slot_of, split_by_slot, text_of
-from mailtriage.session import materialize, ship
+from mailtriage.session import materialize, ship, spread_groups
 
 WORDS = 5
 # Texts that the order of shingles is taken from, and the most frequent shingles that go last.
@@ -58,6 +58,14 @@ def shingles_of(data: bytes) -> np.ndarray:
     return np.unique(np.fromiter((hash_of(joined[s:e], 42) for s, e in zip(starts, ends)), np.uint64, len(ends))).view(np.int64)
 
 
+def mixed(cut: np.ndarray) -> np.ndarray:
+    """Cut shingles spread over 64 bits again; equal ones stay equal."""
+    x = cut ^ cut >> np.uint64(30)
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return (x ^ x >> np.uint64(31)).view(np.int64)
+
+
 def simhash_of(shingles: np.ndarray) -> int:
     """Majority bits over the shingles, as a signed number."""
     counts = np.zeros(64, np.int64)
@@ -99,8 +107,8 @@ def _sets(keys: int):
     return run
 
 
-_BLOCK = "block bigint, rows array<struct<doc_id:bigint,text_key:bigint,node:bigint,size:int,simhash:bigint,sketch:binary>>, fps binary"
-_ROW = pa.struct([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("simhash", pa.int64()), ("sketch", pa.binary())])
+_BLOCK = "block bigint, rows array<struct<doc_id:bigint,text_key:bigint,node:bigint,size:int>>, fps binary"
+_ROW = pa.struct([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("size", pa.int32())])
 _MARKED = "doc_id bigint, text_key bigint, node bigint, size int, simhash bigint, sketch binary, alone int, prefix array<bigint>"
 
 
@@ -137,7 +145,7 @@ def _blocks(bits: int):
                         yield block()
                         count, rows, held, size = count + 1, [], [], 0
                     node = int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 42)).astype(np.int64))
-                    rows.append({"doc_id": doc_id.as_py(), "text_key": text_key.as_py(), "node": node, "size": len(shingles), "simhash": simhash_of(shingles), "sketch": sketch_of(shingles)})
+                    rows.append({"doc_id": doc_id.as_py(), "text_key": text_key.as_py(), "node": node, "size": len(shingles)})
                     held.append(_packed(shingles, bits))
                     size += len(shingles)
         if rows:
@@ -176,7 +184,7 @@ def _shared(bits: int, owners: int, frequent: np.ndarray, counts: np.ndarray):
                     at += r["size"]
                     if int(hit[mine].sum()) >= least_shared(r["size"]):
                         alone, prefix = prefix_of(tokens[mine], hit[mine], frequent, counts)
-                        out.append((r["doc_id"], r["text_key"], r["node"], r["size"], r["simhash"], r["sketch"], alone, prefix))
+                        out.append((r["doc_id"], r["text_key"], r["node"], r["size"], simhash_of(mixed(fps[mine])), sketch_of(mixed(fps[mine])), alone, prefix))
                 if out:
                     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [f.split()[0] for f in _MARKED.split(", ")])
@@ -284,7 +292,7 @@ def _apart(rows: DataFrame, nodes: DataFrame, joining: bool, name: str) -> DataF
         pairs = [] if crossing and group["side"].nunique() < 2 else list(allowed_pairs(group.sort_values("node"), joining))
         return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
-    return materialize(dealt.groupBy("token", "p", "q").applyInPandas(run, "a bigint, b bigint").distinct(), f"jaccard-apart-{name}")
+    return materialize(spread_groups(dealt, "token", "p", "q").groupBy("token", "p", "q").applyInPandas(run, "a bigint, b bigint").distinct(), f"jaccard-apart-{name}")
 
 
 def links_of(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
