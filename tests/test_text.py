@@ -135,3 +135,28 @@ def test_known_grams_are_looked_up_once(spark, sf):
 
     plan = entry.queries()["m4b_tfidf_char_norms"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_word_lists_match_where_plain_alternatives_do(spark):
+    """Words of all lists, cut, joined and in other case, with characters beyond ASCII that count as letters."""
+    import random
+
+    from mailtriage import constants as K
+    from mailtriage.functions.style import _words
+
+    rng = random.Random(4)
+    lists = (K.HIGH_WORDS, K.MEDIUM_WORDS, K.LOW_WORDS, K.INFORMAL_GREETING, K.FORMAL_GREETING, K.FAMILY_WORDS, K.FORMAL_CLOSING, K.INFORMAL_CLOSING)
+    words = [re.sub(r"\\[sw][+*]|\[.*?\]\??|[()?]", " ", w).replace("|", " ") for ws in lists for w in ws]
+    swaps = {"s": "\u017f", "i": "\u0130\u0131", "k": "\u212a"}
+    texts = []
+    for _ in range(4000):
+        parts = [w if rng.random() < 0.7 else w[:rng.randrange(len(w) + 1)] for w in rng.choices(words, k=6)]
+        text = "".join(p + rng.choice([" ", " ", "\u00a0", "\n", ".", "_", "\u00e9", "-", ""]) for p in parts)
+        texts.append((text, "".join(rng.choice(swaps[c]) if c in swaps and rng.random() < 0.1 else c.upper() if rng.random() < 0.2 else c for c in text)))
+    df = spark.createDataFrame([(t,) for pair in texts for t in pair], "t string")
+    found = lambda words: F.regexp_extract_all("t", F.lit(words), F.lit(0))
+    pairs = [(found(_words(ws)), found(r"(?iU)\b(" + "|".join(ws) + r")\b")) for ws in lists]
+    row = df.agg(*[F.sum((a != b).cast("int")) for a, b in pairs], *[F.sum(F.size(b)) for _, b in pairs]).first()
+    assert row[:len(lists)] == (0,) * len(lists) and min(row[len(lists):]) > 50
+    # What the speed rests on: no list of alternatives is tried where no word can start.
+    assert all(_words(ws).startswith(r"(?iU)\b(?=[") for ws in lists)
