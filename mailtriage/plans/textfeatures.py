@@ -94,7 +94,7 @@ def tfidf_sql(vocab, source):
 @query("m4_tfidf_word", f"WITH {tfidf_sql(WORD_VOCAB, 'wg')} SELECT doc_id, term, idx, round(weight, 6) AS weight FROM tfidf")
 def m4(spark, sf):
     rows = written(spark, sf)
-    model = VO.collect_model(vocabulary(rows, WORD), WORD)
+    model = VO.fit_text(rows, "clean", WORD)
     d = model.transform(rows, "clean")
     return VO.long_weights(d, "doc_id", "word", model).select("doc_id", "term", "idx", F.round("weight", 6).alias("weight"))
 
@@ -114,7 +114,7 @@ def m4b(spark, sf):
 def j11(spark, sf):
     """Terms are counted inside the batch; the vocabulary is bounded, so every task holds it."""
     rows = written(spark, sf)
-    model = VO.collect_model(vocabulary(rows, WORD), WORD)
+    model = VO.fit_text(rows, "clean", WORD)
     found = model.counts(rows, "clean").select("doc_id", F.explode(F.arrays_zip(F.col("word_idx").alias("i"), F.col("word_val").alias("n"))).alias("g"))
     return found.select("doc_id", F.col("g.i").alias("idx"), F.col("g.n").cast("long").alias("tf"))
 
@@ -123,7 +123,7 @@ def j11(spark, sf):
   SELECT doc_id, rank::INTEGER AS rank, round(round(weight, 9), 6) AS weight FROM r WHERE rank <= 5""")
 def w15(spark, sf):
     rows = written(spark, sf)
-    model = VO.collect_model(vocabulary(rows, WORD), WORD)
+    model = VO.fit_text(rows, "clean", WORD)
     d = model.transform(rows, "clean").withColumn("word_val", F.transform("word_val", lambda x: F.round(x, 9)))
     return VO.heaviest_terms(d, "doc_id", "word", model, 5).select("doc_id", "rank", F.round("weight", 6).alias("weight"))
 

@@ -111,3 +111,35 @@ def test_long_character_grams():
     got = {t: (int(n), int(d)) for term, tf, df in G.counted_terms(texts(), spec) for t, n, d in zip(term.to_pylist(), tf, df)}
     assert {t: n for t, (n, _) in got.items()} == sum((Counter(grams(t, spec)) for t in texts()), Counter())
     assert {t: d for t, (_, d) in got.items()} == sum((Counter(set(grams(t, spec))) for t in texts()), Counter())
+
+
+@pytest.mark.parametrize("size", [3, 40, 5_000])
+def test_rare_pairs_are_left_out_and_the_vocabulary_stays_the_same(spark, monkeypatch, size):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(size)
+    # Frequent words, rare ones, pairs that stand together always, and counts that many terms have.
+    words = [f"w{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(150)]
+    rows = [None, "", "the", "zz zz zz"]
+    for _ in range(500):
+        text = [words[min(149, int(rng.expovariate(0.05)))] for _ in range(rng.randrange(25))]
+        rows.append(" ".join(text + ["new york"] * rng.randrange(3) + ["the", "end"]))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id int, clean string").repartition(4, "id")
+    spec = VO.word_spec(size, 2, ("the",))
+    n = df.agg(F.count("*").alias("n_docs"))
+    whole = VO.term_table(df, "clean", spec)
+    want = [tuple(r) for r in VO.vocabulary(whole, n, spec).orderBy("idx").collect()]
+    needed = VO.needed_terms(df, "clean", spec)
+    assert [tuple(r) for r in VO.vocabulary(needed, n, spec).orderBy("idx").collect()] == want
+    assert size > len(words) or any(" " in r[0] for r in want) or size < 10
+    if size < 100:
+        # What is counted is right, and rare pairs are not among it.
+        assert needed.exceptAll(whole).count() == 0 and needed.count() < whole.count() / 2
+
+
+def test_hashes_of_tokens_depend_on_their_bytes_alone():
+    tokens = ["ab", "", "ba", "abc", "a", "ab" * 40]
+    hashes = G.token_hashes(pa.array(tokens))
+    assert len(set(hashes.tolist())) == len(tokens)
+    assert G.token_hashes(pa.array(["q", *reversed(tokens)])[1:]).tolist() == hashes.tolist()[::-1]
+    assert G.token_hashes(pa.array([], pa.string())).tolist() == [] and G.token_hashes(pa.array([""])).tolist() == [0]
